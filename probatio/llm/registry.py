@@ -25,3 +25,21 @@ def op3(spark, sf_dir):
     from .op03_tokenize import tokenize
 
     return tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op4_packing")
+def op4(spark, sf_dir):
+    import public_tokenizers
+
+    from .op04_pack import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op10_token_output")
+def op10(spark, sf_dir):
+    import public_tokenizers
+
+    from .op10_output import token_output
+
+    return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
