@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from . import op02_lines
 from .common import table
 
 QUERIES: dict = {}
@@ -43,3 +46,9 @@ def op10(spark, sf_dir):
     from .op10_output import token_output
 
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op2_line_dedup", op02_lines.ORACLE)
+def op2(spark, sf_dir):
+    kept = op02_lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
