@@ -1,7 +1,7 @@
 """Exact byte-pair encoding in linear time, and decoding by an offset table.
 
-Encoder: an Aho-Corasick automaton over all tokens finds, for every start in a
-pre-token, the longest token there. A backtracking walk takes longest matches
+Encoder: an Aho-Corasick automaton over all tokens finds the longest token at a
+start in a pre-token, for those starts that the walk visits. A backtracking walk takes longest matches
 and falls back to the next shorter prefix token (or to the previous token)
 whenever two neighbours are not *compatible*, i.e. merging by rank would not
 leave exactly this pair. The walk visits every end position at most once, so it
@@ -29,7 +29,7 @@ WIDE_SPACE = regex.compile("[\x0b\x0c\r\x85\xa0  -     　]")
 WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+")
 BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACE + r"\p{L}\p{N}]+|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + "]+")
 #: Entries of one worker's cache of encoded chunks; a full cache starts anew.
-CACHE = 400_000
+CACHE = 600_000
 #: Ids that one step of decoding gathers.
 DECODE_STEP = 1 << 18
 
@@ -126,7 +126,8 @@ class Vocabulary:
         n = len(word)
         longest = [-1] * n
         length, shorter, known = self.length, self.shorter, self.compatible
-        for end, k in self.automaton.iter(word):
+        matches = self.automaton.iter_long
+        for end, k in matches(word):
             longest[end - length[k] + 1] = k
         dead = bytearray(n + 1)
         out: list[int] = []
@@ -159,6 +160,13 @@ class Vocabulary:
             if at == n:
                 return out
             token = longest[at]
+            if token < 0:
+                for end, k in matches(word, at):
+                    start = end - length[k] + 1
+                    if longest[start] >= 0:
+                        break
+                    longest[start] = k
+                token = longest[at]
 
     def pre_tokens(self, text: str) -> list[str]:
         if self.words_only:
