@@ -52,3 +52,11 @@ def op10(spark, sf_dir):
 def op2(spark, sf_dir):
     kept = op02_lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op7_simhash")
+def op7(spark, sf_dir):
+    from .op07_simhash import near_groups
+
+    found = near_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
