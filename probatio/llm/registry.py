@@ -60,3 +60,13 @@ def op7(spark, sf_dir):
 
     found = near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query("op6_quality_rules")
+def op6(spark, sf_dir):
+    from . import op06_rules
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = op06_rules.fit(docs, table(spark, sf_dir, "labels"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+    return op06_rules.judge(docs, rules).select("doc_id", *names)
