@@ -70,3 +70,12 @@ def op6(spark, sf_dir):
     rules = op06_rules.fit(docs, table(spark, sf_dir, "labels"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
     return op06_rules.judge(docs, rules).select("doc_id", *names)
+
+
+@query("op1_language_id")
+def op1(spark, sf_dir):
+    from . import op01_language
+
+    docs = table(spark, sf_dir, "documents")
+    found = op01_language.identify(docs, op01_language.fit(docs))
+    return found.select("doc_id", op01_language.held_out(), "lang_pred", "score")
