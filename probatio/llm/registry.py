@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import op02_lines
+from . import op02_lines, op09_topk
 from .common import table
 
 QUERIES: dict = {}
@@ -79,3 +79,8 @@ def op1(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = op01_language.identify(docs, op01_language.fit(docs))
     return found.select("doc_id", op01_language.held_out(), "lang_pred", "score")
+
+
+@query("op9_top_k", op09_topk.ORACLE)
+def op9(spark, sf_dir):
+    return op09_topk.top_k(table(spark, sf_dir, "embeddings"))
