@@ -84,3 +84,19 @@ def op1(spark, sf_dir):
 @query("op9_top_k", op09_topk.ORACLE)
 def op9(spark, sf_dir):
     return op09_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_token_counts")
+def op5(spark, sf_dir):
+    import public_tokenizers
+
+    from .op05_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op8_html_extraction")
+def op8(spark, sf_dir):
+    from .op08_html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
