@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -30,6 +31,8 @@ WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SP
 BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACE + r"\p{L}\p{N}]+|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + "]+")
 #: Entries of one worker's cache of encoded chunks; a full cache starts anew.
 CACHE = 600_000
+#: Entries of one worker's cache of encoded pre-tokens.
+WORD_CACHE = 900_000
 #: Ids that one step of decoding gathers.
 DECODE_STEP = 1 << 18
 
@@ -52,10 +55,13 @@ class Vocabulary:
             raise ValueError(f"{path} is no plain BPE file")
         self.suffix = model.get("end_of_word_suffix") or ""
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.marks = {x[0] for x in self.special}
         self.ids: dict[str, int] = model["vocab"]
         self.text = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.size = max(self.text) + 1
         self.words_only = bool(self.suffix)
+        self.code = "H" if self.size <= 1 << 16 else "I"
+        self.kind = np.dtype(f"=u{array(self.code).itemsize}")
         #: One letter for each (letter, end of word), so that every token is a plain string.
         self.letters = byte_letters()
         self.closed = {c: chr(0xE000 + b) for b, c in self.letters.items()} if self.suffix else {}
@@ -93,7 +99,7 @@ class Vocabulary:
             self.automaton.add_word(t, k)
         self.automaton.make_automaton()
         self.compatible: dict[int, bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
 
     def _fits(self, left: int, right: int) -> bool:
         """Whether merging the two tokens' strings by rank ends in exactly this pair."""
@@ -123,15 +129,25 @@ class Vocabulary:
         """Ranks of one pre-token's tokens."""
         if (whole := self.rank.get(word)) is not None:
             return [whole]
+        length, shorter, known, matches = self.length, self.shorter, self.compatible, self.automaton.iter_long
+        greedy = [k for _, k in matches(word)]
+        out: list[int] = []
+        at, last = 0, -1
+        for token in greedy:
+            if last >= 0 and not known.get(last << 20 | token):
+                break
+            out.append(token)
+            at += length[token]
+            last = token
+        else:
+            return out
         n = len(word)
         longest = [-1] * n
-        length, shorter, known = self.length, self.shorter, self.compatible
-        matches = self.automaton.iter_long
-        for end, k in matches(word):
-            longest[end - length[k] + 1] = k
+        start = 0
+        for k in greedy:
+            longest[start] = k
+            start += length[k]
         dead = bytearray(n + 1)
-        out: list[int] = []
-        at, token = 0, longest[0]
         while True:
             last = out[-1] if out else -1
             while True:
@@ -170,8 +186,26 @@ class Vocabulary:
 
     def pre_tokens(self, text: str) -> list[str]:
         if self.words_only:
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            # Letters alone, or letters and one mark, need no pattern.
+            if text.isalpha() and text.isascii():
+                return [text.lower()]
+            text = (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
+            if text.isalpha():
+                return [text]
+            if text[-1:] in (".", ",") and text[:-1].isalpha():
+                return [text[:-1], text[-1]]
             return WORD_PATTERN.findall(text)
+        head, body = text[:1], text[1:]
+        if body.isalpha():
+            if head == " " or head.isalpha():
+                return [text]
+            if head == "\n":
+                return [head, body]
+        elif body[-1:] in (".", ",") and body[:-1].isalpha():
+            if head == " " or head.isalpha():
+                return [text[:-1], text[-1]]
+            if head == "\n":
+                return [head, body[:-1], text[-1]]
         return BYTE_PATTERN.findall(text)
 
     def pieces(self, text: str) -> list:
@@ -183,25 +217,32 @@ class Vocabulary:
 
     def encode(self, text: str) -> list[int]:
         """Ids of ``text`` by backtracking, special strings included."""
+        return np.frombuffer(self.encode_bytes(text), self.kind).tolist()
+
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids of ``text`` as ``kind``, through a bounded cache of pre-tokens."""
         words, out = self.words, []
-        for part in self.pieces(text):
+        for part in self.pieces(text) if any(c in text for c in self.marks) else (text,):
             if isinstance(part, int):
-                out.append(part)
+                out.append(array(self.code, (part,)).tobytes())
                 continue
             for word in self.pre_tokens(part):
                 if (ids := words.get(word)) is None:
-                    if len(words) >= CACHE:
+                    if len(words) >= WORD_CACHE:
                         words.clear()
                     ids = words[word] = self.encode_word(word)
-                out += ids
-        return out
+                out.append(ids)
+        return out[0] if len(out) == 1 else b"".join(out)
 
-    def encode_word(self, word: str) -> list[int]:
+    def encode_word(self, word: str) -> bytes:
         letters, id_of_rank = self.letters, self.id_of_rank
-        form = "".join([letters[b] for b in word.encode("utf-8", "surrogatepass")])
+        if word.isascii() and word.isalpha():
+            form = word
+        else:
+            form = "".join([letters[b] for b in word.encode("utf-8", "surrogatepass")])
         if self.suffix:
             form = form[:-1] + self.closed[form[-1]]
-        return [id_of_rank[k] for k in self.encode_form(form)]
+        return array(self.code, [id_of_rank[k] for k in self.encode_form(form)]).tobytes()
 
     def chunks(self, text: str) -> list[str]:
         """Parts of ``text`` that encode independently, white space in front."""
@@ -227,32 +268,28 @@ class Vocabulary:
 
 
 class Cached:
-    """Encodes whole texts through a bounded cache of chunks; ``miss`` encodes the new ones."""
+    """Encodes whole texts through a bounded cache of chunks; ``encode`` gives new ones' ids."""
 
-    def __init__(self, vocabulary: Vocabulary, miss=None, limit: int = CACHE):
-        self.vocabulary, self.limit = vocabulary, limit
-        self.kind = np.dtype("<u2" if vocabulary.size <= 1 << 16 else "<u4")
-        self.miss = miss or (lambda chunks: [vocabulary.encode(c) for c in chunks])
-        self.known: dict[str, bytes] = {"": b""}
+    def __init__(self, vocabulary: Vocabulary, encode=None, limit: int = CACHE):
+        self.vocabulary, self.limit, self.kind = vocabulary, limit, vocabulary.kind
+        self.encode = encode or vocabulary.encode_bytes
+        self.known = _Chunks(self.encode)
 
     def encode_batch(self, texts: list[str]):
         """One array of ids for each text, in order."""
-        known = self.known
         for text in texts:
-            parts = self.vocabulary.chunks(text)
-            try:
-                data = b"".join(map(known.__getitem__, parts))
-            except KeyError:
-                new = [*{p for p in parts if p not in known}]
-                got = {p: np.array(ids, self.kind).tobytes() for p, ids in zip(new, self.miss(new), strict=True)}
-                if len(known) + len(got) > self.limit:
-                    known.clear()
-                    known[""] = b""
-                    missing = [*{p for p in parts if p and p not in got}]
-                    got |= {p: np.array(ids, self.kind).tobytes() for p, ids in zip(missing, self.miss(missing), strict=True)}
-                known.update(got)
-                data = b"".join(map(known.__getitem__, parts))
-            yield np.frombuffer(data, self.kind)
+            if len(self.known) > self.limit:
+                self.known.clear()
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, self.vocabulary.chunks(text))), self.kind)
+
+
+class _Chunks(dict):
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.encode(chunk)
+        return ids
 
 
 class Decoder:
@@ -274,29 +311,17 @@ class Decoder:
         return data[: -len(self.between)] if self.between and data else data
 
 
-def library_encoder(path: str):
-    """Chunks to ids by the tokenizers library."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    return lambda chunks: [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-
 _made: dict = {}
 
 
-def cached_encoder(path: str, by_library: bool) -> Cached:
+def cached_encoder(path: str) -> Cached:
     """This worker's encoder for a tokenizer file, made once."""
-    key = (path, by_library)
-    if key not in _made:
-        _made[key] = Cached(Vocabulary(path), library_encoder(path) if by_library else None)
-    return _made[key]
+    if path not in _made:
+        _made[path] = Cached(Vocabulary(path))
+    return _made[path]
 
 
 def decoder(path: str) -> Decoder:
     if ("decoder", path) not in _made:
-        _made["decoder", path] = Decoder(cached_encoder(path, False).vocabulary)
+        _made["decoder", path] = Decoder(cached_encoder(path).vocabulary)
     return _made["decoder", path]

@@ -18,7 +18,7 @@ from .common import small_batches
 
 
 def _encode(batches, path: str, keep_ids: bool):
-    encoder, decoder = bpe.cached_encoder(path, False), bpe.decoder(path)
+    encoder, decoder = bpe.cached_encoder(path), bpe.decoder(path)
     for batch in batches:
         texts = [x or "" for x in batch.column(1).to_pylist()]
         rows: tuple = ([], [], [], [], [])

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import rapid
 from .common import checkpointed, small_batches
 
 TIERS = (4096, 2048, 1024, 512, 256)
@@ -53,7 +53,7 @@ def _crc(ids: np.ndarray) -> int:
 
 
 def _cut(batches, path: str, end_id: int, tiers):
-    encoder = bpe.cached_encoder(path, False)
+    encoder = rapid.encoder(path)
     part = TaskContext.get().partitionId()
     for batch in batches:
         n_tokens, crcs, tails, counts = [], [], [], [[] for _ in tiers]
