@@ -24,14 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe, pfor
+from . import pfor, rapid
 from .common import shared_dir, small_batches
 
 END_ID = 2
 
 
 def _write(batches, folder: str, path: str, end_id: int):
-    encoder = bpe.cached_encoder(path, False)
+    encoder = rapid.encoder(path)
     context = TaskContext.get()
     part = context.partitionId()
     fs, at = pafs.FileSystem.from_uri(folder)

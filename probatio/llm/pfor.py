@@ -1,9 +1,10 @@
 """Patched frame-of-reference blocks for integer ids.
 
-A block holds ``BLOCK`` ids: their minimum, a bit width chosen so that
-``PERCENT`` per cent of the differences from the minimum fit, the low bits of
-all differences at that width, and an exception list (position, high bits) for
-the outliers. An index holds where each block starts.
+A block holds ``BLOCK`` ids: their minimum, a bit width, the low bits of all
+differences from the minimum at that width, and an exception list (position,
+high bits in two or four bytes) for the outliers. The width is that of one of
+the differences' ``PERCENTILES``, whichever makes the block smallest. An index
+holds where each block starts.
 
 File: magic, then sections (so that a writer needs memory for one section
 only), then a footer of section positions and its length. A section holds
@@ -18,7 +19,9 @@ import struct
 import numpy as np
 
 BLOCK = 128
-PERCENT = 90
+PERCENTILES = (100, 98, 95, 90, 80)
+#: Set in a block's width byte if its exceptions have four bytes.
+WIDE = 128
 MAGIC = b"PFOR1\n"
 
 
@@ -27,6 +30,29 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(x.astype(np.float64) + 1)).astype(np.int64)
 
 
+def _pack(rest: np.ndarray, w: int) -> np.ndarray:
+    """The low ``w`` bits of each block's values as bytes, all blocks at once."""
+    values = np.ascontiguousarray(rest.T).astype(np.uint64) & np.uint64((1 << w) - 1)
+    words = np.zeros((BLOCK * w // 64, values.shape[1]), np.uint64)
+    for j in range(BLOCK):
+        word, bit = divmod(j * w, 64)
+        words[word] |= values[j] << np.uint64(bit)
+        if bit + w > 64:
+            words[word + 1] |= values[j] >> np.uint64(64 - bit)
+    return np.ascontiguousarray(words.T).astype("<u8").view(np.uint8).reshape(len(rest), -1)
+
+
+def _unpack(data: np.ndarray, w: int) -> np.ndarray:
+    words = np.ascontiguousarray(data.view("<u8").reshape(len(data), -1).T)
+    values = np.empty((BLOCK, len(data)), np.uint64)
+    for j in range(BLOCK):
+        word, bit = divmod(j * w, 64)
+        values[j] = words[word] >> np.uint64(bit)
+        if bit + w > 64:
+            values[j] |= words[word + 1] << np.uint64(64 - bit)
+    return (values & np.uint64((1 << w) - 1)).T.astype(np.uint32)
+
+
 def encode_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Blocks of ``ids`` and the start of each; the last block is filled with its last id."""
     n = len(ids)
@@ -35,11 +61,20 @@ def encode_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     blocks = np.append(ids, np.full(-n % BLOCK, ids[-1], ids.dtype)).astype(np.uint32).reshape(-1, BLOCK)
     low = blocks.min(axis=1)
     rest = blocks - low[:, None]
-    nth = BLOCK * PERCENT // 100 - 1
-    widths = _bits(np.partition(rest, nth, axis=1)[:, nth])
+    order = np.sort(rest, axis=1)
+    best = None
+    for percent in PERCENTILES:
+        w = _bits(order[:, BLOCK * percent // 100 - 1])
+        n_out = np.count_nonzero(order >> w[:, None].astype(np.uint32), axis=1)
+        wide = _bits(order[:, -1]) - w > 16
+        size = 6 + w * (BLOCK // 8) + n_out * np.where(wide, 5, 3)
+        if best is None:
+            best = [size, w, n_out, wide]
+        else:
+            less = size < best[0]
+            best = [np.where(less, x, y) for x, y in zip((size, w, n_out, wide), best, strict=True)]
+    sizes, widths, outliers, wide = best
     high = rest >> widths[:, None].astype(np.uint32)
-    outliers = np.count_nonzero(high, axis=1)
-    sizes = 6 + widths * (BLOCK // 8) + outliers * 5
     starts = np.cumsum(sizes) - sizes
     out = np.zeros(int(sizes.sum()), np.uint8)
 
@@ -47,19 +82,19 @@ def encode_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         out[where[:, None] + np.arange(what.shape[1])] = what
 
     put(starts, low.astype("<u4").view(np.uint8).reshape(-1, 4))
-    put(starts + 4, np.stack([widths, outliers], axis=1).astype(np.uint8))
+    put(starts + 4, np.stack([widths + WIDE * wide, outliers], axis=1).astype(np.uint8))
     for w in np.unique(widths):
         if w:
             own = np.flatnonzero(widths == w)
-            bits = (rest[own][:, :, None] >> np.arange(w, dtype=np.uint32) & 1).astype(np.uint8).reshape(len(own), -1)
-            put(starts[own] + 6, np.packbits(bits, axis=1, bitorder="little"))
+            put(starts[own] + 6, _pack(rest[own], int(w)))
     block, place = np.nonzero(high)
-    if len(block):
-        turn = np.arange(len(block)) - (np.cumsum(outliers) - outliers)[block]
-        patch = np.empty((len(block), 5), np.uint8)
-        patch[:, 0] = place
-        patch[:, 1:] = high[block, place].astype("<u4").view(np.uint8).reshape(-1, 4)
-        put(starts[block] + 6 + widths[block] * (BLOCK // 8) + turn * 5, patch)
+    turn = np.arange(len(block)) - (np.cumsum(outliers) - outliers)[block]
+    for flag, size in ((False, 3), (True, 5)):
+        own = wide[block] == flag
+        patch = np.empty((np.count_nonzero(own), size), np.uint8)
+        patch[:, 0] = place[own]
+        patch[:, 1:] = high[block[own], place[own]].astype("<u4").view(np.uint8).reshape(-1, 4)[:, : size - 1]
+        put(starts[block[own]] + 6 + widths[block[own]] * (BLOCK // 8) + turn[own] * size, patch)
     return out.tobytes(), starts
 
 
@@ -73,18 +108,22 @@ def decode_blocks(data: bytes, starts: np.ndarray, n: int) -> np.ndarray:
 
     low = get(starts, 4).view("<u4").reshape(-1)
     widths, outliers = get(starts + 4, 2).astype(np.int64).T
+    wide = widths >= WIDE
+    widths = widths - WIDE * wide
     out = np.zeros((len(starts), BLOCK), np.uint32)
     for w in np.unique(widths):
         if w:
             own = np.flatnonzero(widths == w)
-            bits = np.unpackbits(get(starts[own] + 6, int(w) * BLOCK // 8), axis=1, bitorder="little").reshape(len(own), BLOCK, int(w))
-            out[own] = np.einsum("ijk,k->ij", bits, (1 << np.arange(w)).astype(np.uint32), dtype=np.uint32, casting="unsafe")
-    if outliers.any():
-        block = np.repeat(np.arange(len(starts)), outliers)
-        turn = np.arange(len(block)) - (np.cumsum(outliers) - outliers)[block]
-        patch = get(starts[block] + 6 + widths[block] * (BLOCK // 8) + turn * 5, 5)
-        high = np.ascontiguousarray(patch[:, 1:]).view("<u4").reshape(-1)
-        out[block, patch[:, 0]] |= high << widths[block].astype(np.uint32)
+            out[own] = _unpack(get(starts[own] + 6, int(w) * BLOCK // 8), int(w))
+    block = np.repeat(np.arange(len(starts)), outliers)
+    turn = np.arange(len(block)) - (np.cumsum(outliers) - outliers)[block]
+    for flag, size in ((False, 3), (True, 5)):
+        own = np.flatnonzero(wide[block] == flag)
+        at = block[own]
+        patch = get(starts[at] + 6 + widths[at] * (BLOCK // 8) + turn[own] * size, size)
+        high = np.zeros((len(own), 4), np.uint8)
+        high[:, : size - 1] = patch[:, 1:]
+        out[at, patch[:, 0]] |= high.view("<u4").reshape(-1) << widths[at].astype(np.uint32)
     return (out + low[:, None]).reshape(-1)[:n]
 
 
