@@ -46,7 +46,7 @@ CLOSES = {
 }
 #: Where an implied end tag stops looking.
 SCOPE = {"ul", "ol", "dl", "table", "html", "body", "div", "article", "section", "main", "aside", "nav", "header", "footer", "form", "blockquote", "td", "th", "figure"}
-SPACE = re.compile(r"[ \t\n\r\f\v\x85\xa0  -     　]+")
+SPACE = re.compile("[ \\t\\n\\r\\f\\v\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 PARAGRAPHS = {"p", "pre", "td", "blockquote", "li", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "div", "section", "article", "main"}
 MIN_TEXT = 25
 #: Ancestors that a paragraph's points reach.
