@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What ends a line for ``str.splitlines``.
-LINE_END = "\r\n|[\r\x0b\x0c\x1c-\x1e\x85  ]"
+#: What ends a line for ``str.splitlines``, as a Java pattern.
+LINE_END = "\\r\\n|[\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 #: What ``str.strip`` takes off.
-BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0             　"
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 
 
 def let(value: Column, body) -> Column:
@@ -17,12 +18,14 @@ def let(value: Column, body) -> Column:
 
 
 def materialise(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with columns that several later expressions use.
+    """``df`` with columns that are computed once, however often they are used.
 
-    The optimizer keeps a projection of its own for an expression that is used
-    more than once and is not cheap, so each is computed once per row.
+    Each is wrapped in a condition that always holds but that the optimizer may
+    not move (``rand() >= 0``). It so stays in a projection of its own, instead
+    of being copied into each of its uses: plans grow in proportion to the
+    rules, not with their nesting. Nothing is shuffled.
     """
-    return df.withColumns(columns)
+    return df.withColumns({name: F.when(F.rand(0) >= 0.0, c) for name, c in columns.items()})
 
 
 def split_lines(code: Column) -> Column:
