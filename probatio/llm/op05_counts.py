@@ -1,6 +1,8 @@
 """Token counts under a unigram piece table, by trie-shared dynamic programming.
 
-Pre-tokens are a text's words (cut at white space) behind a word mark. The best
+The file ranks its pieces by merges; no frequencies are given and none are
+trained, so a piece's unigram score is the log-probability that Zipf's law
+gives its rank. Pre-tokens are a text's words (cut at white space) behind a word mark. The best
 segmentation of a pre-token has the highest sum of piece scores, then the
 fewest tokens. Its forward score at a position depends on the prefix only, so
 the distinct pre-tokens of a batch are inserted in a trie, and each trie node's
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 from functools import partial
 from itertools import chain
+from math import log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +32,13 @@ MARK = "▁"
 CACHE = 700_000
 
 
+def zipf(ranks: dict[str, float]) -> dict[str, float]:
+    """Unigram log-probabilities of ranked pieces: the frequency of rank r is in proportion to 1 / (r + 1)."""
+    order = {piece: k for k, piece in enumerate(sorted(ranks, key=lambda p: (ranks[p], p)))}
+    norm = log(sum(1 / (k + 1) for k in range(len(order)))) if order else 0.0
+    return {piece: -log(k + 1) - norm for piece, k in order.items()}
+
+
 class Pieces:
     """Scores of the ordinary pieces of a sentencepiece file."""
 
@@ -44,7 +54,7 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         ordinary = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        return cls({model.id_to_piece(i): model.get_score(i) for i in ordinary})
+        return cls(zipf({model.id_to_piece(i): -model.get_score(i) for i in ordinary}))
 
     def terminal_counts(self, words: list[str]) -> dict[str, int]:
         """Tokens of each word's best segmentation; prefixes are scored once."""

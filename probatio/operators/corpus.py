@@ -121,10 +121,16 @@ def subset_cells(analysed: DataFrame, settings) -> DataFrame:
         extra = F.when(pairs > 0, 1).otherwise(0) + (F.when(severe, 1).otherwise(0) if "security" in own else F.lit(0))
         critical, joined = n["critical"] + extra, n["joined"] + extra
         score = report.overall_score(report.base_score({a: F.col(f"{a}_score") for a in own}), critical, n["high"], joined)
-        verdict = report.verdict(score, critical, n["high"], joined, n["blocking"], settings.min_score)
-        cells.append(F.struct(F.lit(order).alias("seq"), F.lit(name).alias("config"), F.lit(len(own)).alias("n_agents"), F.array(*map(F.lit, own)).alias("agents"), verdict.alias("verdict"), score.alias("score")))
+        cells.append(
+            F.struct(
+                F.lit(order).alias("seq"), F.lit(name).alias("config"), F.lit(len(own)).alias("n_agents"), F.array(*map(F.lit, own)).alias("agents"),
+                critical.alias("critical"), n["high"].alias("high"), joined.alias("joined"), n["blocking"].alias("blocking"), score.alias("score"),
+            )
+        )
     keep = [c for c in ("sample_id", "should_reject") if c in df.columns]
-    return df.select(*keep, F.inline(F.array(*cells)))
+    judged = report.verdict(F.col("score"), F.col("critical"), F.col("high"), F.col("joined"), F.col("blocking"), settings.min_score)
+    df = T.materialise(df, cells=F.array(*cells))
+    return df.select(*keep, F.inline("cells")).select(*keep, "seq", "config", "n_agents", "agents", judged.alias("verdict"), "score")
 
 
 def ranked(rates: DataFrame) -> DataFrame:

@@ -124,12 +124,15 @@ def base_score(scores: dict[str, Column]) -> Column:
 
 
 def overall_score(base: Column, critical: Column, high: Column, joined: Column, failed: Column | int = 0) -> Column:
-    capped = F.least(base, F.when(critical > 0, 1.0 - (0.6 + (critical - 1) * 0.2)).otherwise(base))
-    capped = F.least(capped, F.when(high >= 3, 0.4).when(high == 2, 0.6).when(high == 1, 0.8).otherwise(capped))
-    capped = F.when(joined > 0, F.least(capped, F.lit(0.3))).otherwise(capped)
+    """The base score under the caps of severe findings; ``least`` passes over caps that do not apply."""
     failed = F.lit(failed) if isinstance(failed, int) else failed
-    capped = F.when(failed > 0, F.greatest(F.lit(0.0), capped - 0.15 * failed)).otherwise(capped)
-    return F.round(F.greatest(F.lit(0.0), capped), 3)
+    capped = F.least(
+        base,
+        F.when(critical > 0, 1.0 - (0.6 + (critical - 1) * 0.2)),
+        F.when(high >= 3, 0.4).when(high == 2, 0.6).when(high == 1, 0.8),
+        F.when(joined > 0, 0.3),
+    )
+    return F.round(F.greatest(F.lit(0.0), capped - 0.15 * failed), 3)
 
 
 def verdict(score: Column, critical: Column, high: Column, joined: Column, blocking: Column, min_score: float = 0.85) -> Column:
