@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatio.llm import op01_language, op02_lines, op04_pack, op06_rules, op07_simhash
+from probatio.llm import op01_language, op02_lines, op04_pack, op06_rules, op07_similar
 from probatio.llm.common import shared_dir, table
 
 #: A document goes if it has no letters or no language explains this share of it.
@@ -44,9 +44,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id."""
-    groups = op07_simhash.near_groups(docs, width=5).where(F.col("doc_id").eqNullSafe(F.col("component"))).select("doc_id").distinct()
-    kept = docs.join(groups.hint("shuffle_hash"), "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return op07_similar.leaders(docs).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
