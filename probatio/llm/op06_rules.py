@@ -206,9 +206,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str =
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     # At most max_rows pairs of an id and a boolean.
     own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(known), "__id")
-    stats = with_rates(with_statistics(own)).where(~base_failed()).select("__id", "__low", *RATES)
+    # No filter on the statistics here: it would move below the join and cover every document.
+    stats = with_rates(with_statistics(own)).select("__id", "__low", base_failed().alias("__failed"), *RATES)
     rows = stats.orderBy(F.xxhash64("__id"), "__id", *RATES).limit(max_rows).collect()
-    return learn([({r: float(row[r]) for r in RATES}, row["__low"]) for row in rows], **how)
+    return learn([({r: float(row[r]) for r in RATES}, row["__low"]) for row in rows if not row["__failed"]], **how)
 
 
 def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
