@@ -414,7 +414,7 @@ def cache_keys(spark, sf_dir):
 def cache_lookup(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     low = events.agg(F.min("event_type").alias("t"), F.min("ts").alias("m")).first()
-    cache = events.where((F.col("event_type") == low["t"]) & (F.unix_micros("ts") / 1e6 % 2 < 1)).select(F.col("user_id").alias("key"), F.col("ts").alias("created_at"), (F.col("ts")).alias("expires_at"), "value")
+    cache = events.where((F.col("event_type") == low["t"]) & (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 % 2 < 1)).select(F.col("user_id").alias("key"), F.col("ts").alias("created_at"), (F.col("ts")).alias("expires_at"), "value")
     found = history.lookup(events.select(F.col("user_id").alias("key")), cache, F.lit(low["m"]) + F.expr("INTERVAL 1 HOUR"))
     return history.cache_stats(found).select("requests", "hits", "misses", F.round("hit_rate", 6).alias("hit_rate"))
 
@@ -427,9 +427,9 @@ def expired_entries(spark, sf_dir):
     return history.expired(stamped, F.col("now")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("running_statistics", "SELECT event_id, count(*) OVER w AS runs, round(avg(value) OVER w, 6) AS running_mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+@query("running_statistics", "SELECT event_id, count(*) OVER w AS runs, round(avg(value) OVER w, 9) AS running_mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def running_statistics(spark, sf_dir):
-    return history.running(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value").select("event_id", "runs", F.round("running_mean", 6).alias("running_mean"))
+    return history.running(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value").select("event_id", "runs", F.round("running_mean", 9).alias("running_mean"))
 
 
 @query("history_trend", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(sum(value), 4) AS total, round(arg_max(value, event_id) - arg_min(value, event_id), 6) AS change FROM events GROUP BY event_type")
@@ -484,7 +484,7 @@ def tree_classes(spark, sf_dir):
 @query("tree_issues", templates.ISSUES_ORACLE)
 def tree_issues(spark, sf_dir):
     df = plan.analyse(_templated(spark, sf_dir))
-    rows = [df.select(F.lit(a).alias("agent"), "sample_id", F.explode(f"{a}_issues").alias("i")) for a in ("correctness", "security", "performance", "style")]
+    rows = [df.select(F.lit(a).alias("agent"), "sample_id", F.explode_outer(f"{a}_issues").alias("i")).where("i IS NOT NULL") for a in ("correctness", "security", "performance", "style")]
     own = reduce(DataFrame.unionByName, rows).select("agent", "sample_id", F.col("i.type").alias("type"), F.col("i.severity").alias("severity"))
     wanted = own.where(F.concat_ws(".", "agent", "type").isin(*templates.ISSUE_TYPES))
     return wanted.groupBy("agent", "type", "severity").agg(F.count(F.lit(1)).alias("n"))

@@ -21,11 +21,17 @@ def materialise(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with columns that are computed once, however often they are used.
 
     Each is wrapped in a condition that always holds but that the optimizer may
-    not move (``rand() >= 0``). It so stays in a projection of its own, instead
+    not move or fold (``spark_partition_id() >= 0``; one on ``rand`` would be
+    folded). It so stays in a projection of its own, instead
     of being copied into each of its uses: plans grow in proportion to the
     rules, not with their nesting. Nothing is shuffled.
     """
-    return df.withColumns({name: F.when(F.rand(0) >= 0.0, c) for name, c in columns.items()})
+    return df.withColumns(kept_apart(columns))
+
+
+def kept_apart(columns: dict[str, Column]) -> dict[str, Column]:
+    """The columns in the wrapping that ``materialise`` describes."""
+    return {name: F.when(F.spark_partition_id() >= 0, c) for name, c in columns.items()}
 
 
 def split_lines(code: Column) -> Column:

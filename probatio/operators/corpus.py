@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache, reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -97,6 +98,44 @@ def agent_subsets() -> list[tuple[int, str, tuple[str, ...]]]:
     return out
 
 
+def generated(df: DataFrame, structs: Column, *keep: str) -> DataFrame:
+    """``keep`` and the fields of each of ``structs``.
+
+    The outer form, without its rows of nulls: from the plain one the optimizer
+    infers a filter on the computed array and pulls it through the whole plan.
+    """
+    return df.select(*keep, F.explode_outer(structs).alias("__s")).where(F.col("__s").isNotNull()).select(*keep, "__s.*")
+
+
+@lru_cache(maxsize=8)
+def _cell_steps(mode: str) -> tuple[dict[str, Column], ...]:
+    """Columns that lead to ``cells``; built once for a process, as they name their inputs."""
+    secrets = F.col("security_metrics.secrets_found")
+    enriched = {a: report.enriched(a, F.col(f"{a}_issues"), secrets if a == "security" else None, mode) for a in AGENTS}
+    has = lambda s: F.exists("security_enriched", lambda i: i["severity"] == s)
+    steps = [
+        {f"{a}_enriched": c for a, c in enriched.items()},
+        {f"{a}_clustered": report.clustered(F.col(f"{a}_enriched"), mode) for a in AGENTS},
+        {f"{a}_n": F.struct(*[c.alias(k) for k, c in report.counts(F.col(f"{a}_clustered")).items()]) for a in AGENTS}
+        | {f"{a}_kinds": F.array_distinct(F.transform(f"{a}_enriched", lambda i: i["type"])) for a in AGENTS}
+        # Security's own cascades merge with the report's only if they share a source; they do not.
+        | {"severe": F.when(has("critical") & has("high"), 1).otherwise(0)},
+    ]
+    counted, scored = {}, {}
+    for order, _, own in agent_subsets():
+        n = {k: sum((F.col(f"{a}_n")[k] for a in own[1:]), F.col(f"{own[0]}_n")[k]) for k in ("critical", "high", "joined", "blocking")}
+        kinds = F.flatten(F.array(*[F.col(f"{a}_kinds") for a in own]))
+        pair = reduce(lambda x, y: x | y, [F.array_contains(kinds, a) & F.array_contains(kinds, b) for a, b, _ in R.REPORT_COMPOUNDS])
+        # Compounds share type, source and severity, so they cluster into one.
+        extra = F.when(pair, 1).otherwise(0) + (F.col("severe") if "security" in own else F.lit(0))
+        counted[f"n{order}"] = F.struct((n["critical"] + extra).alias("critical"), n["high"].alias("high"), (n["joined"] + extra).alias("joined"), n["blocking"].alias("blocking"))
+    for order, name, own in agent_subsets():
+        n = F.col(f"n{order}")
+        score = report.overall_score(report.base_score({a: F.col(f"{a}_score") for a in own}), n["critical"], n["high"], n["joined"])
+        scored[order] = F.struct(F.lit(order).alias("seq"), F.lit(name).alias("config"), F.lit(len(own)).alias("n_agents"), F.array(*map(F.lit, own)).alias("agents"), n.alias("n"), score.alias("score"))
+    return tuple(T.kept_apart(x) for x in (*steps, counted, {"cells": F.array(*scored.values())}))
+
+
 def subset_cells(analysed: DataFrame, settings) -> DataFrame:
     """A verdict for each sample and agent subset, in one pass.
 
@@ -105,32 +144,14 @@ def subset_cells(analysed: DataFrame, settings) -> DataFrame:
     its agents plus the cross-agent compounds that the subset can see.
     """
     df = analysed
-    secrets = F.col("security_metrics.secrets_found")
-    enriched = {a: f"{a}_enriched" for a in AGENTS}
-    df = T.materialise(df, **{enriched[a]: report.enriched(a, F.col(f"{a}_issues"), secrets if a == "security" else None, settings.mode) for a in AGENTS})
-    df = T.materialise(df, **{f"{a}_n": F.struct(*[c.alias(k) for k, c in report.counts(report.clustered(F.col(enriched[a]), settings.mode)).items()]) for a in AGENTS})
-    df = T.materialise(df, **{f"{a}_kinds": F.array_distinct(F.transform(F.col(enriched[a]), lambda i: i["type"])) for a in AGENTS})
-    severe = F.exists(F.col(enriched["security"]), lambda i: i["severity"] == "critical") & F.exists(F.col(enriched["security"]), lambda i: i["severity"] == "high")
-    # Security's own cascades merge with the report's only if they share a source; they do not.
-    cells = []
-    for order, name, own in agent_subsets():
-        n = {k: sum((F.col(f"{a}_n")[k] for a in own[1:]), F.col(f"{own[0]}_n")[k]) for k in ("critical", "high", "joined", "blocking")}
-        kinds = F.array_distinct(F.flatten(F.array(*[F.col(f"{a}_kinds") for a in own])))
-        pairs = sum((F.when(F.array_contains(kinds, a) & F.array_contains(kinds, b), 1).otherwise(0) for a, b, _ in R.REPORT_COMPOUNDS), F.lit(0))
-        # Compounds share type, source and severity, so they cluster into one.
-        extra = F.when(pairs > 0, 1).otherwise(0) + (F.when(severe, 1).otherwise(0) if "security" in own else F.lit(0))
-        critical, joined = n["critical"] + extra, n["joined"] + extra
-        score = report.overall_score(report.base_score({a: F.col(f"{a}_score") for a in own}), critical, n["high"], joined)
-        cells.append(
-            F.struct(
-                F.lit(order).alias("seq"), F.lit(name).alias("config"), F.lit(len(own)).alias("n_agents"), F.array(*map(F.lit, own)).alias("agents"),
-                critical.alias("critical"), n["high"].alias("high"), joined.alias("joined"), n["blocking"].alias("blocking"), score.alias("score"),
-            )
-        )
+    for step in _cell_steps(settings.mode):
+        df = df.withColumns(step)
     keep = [c for c in ("sample_id", "should_reject") if c in df.columns]
-    judged = report.verdict(F.col("score"), F.col("critical"), F.col("high"), F.col("joined"), F.col("blocking"), settings.min_score)
-    df = T.materialise(df, cells=F.array(*cells))
-    return df.select(*keep, F.inline("cells")).select(*keep, "seq", "config", "n_agents", "agents", judged.alias("verdict"), "score")
+    n = F.col("n")
+    judged = report.verdict(F.col("score"), n["critical"], n["high"], n["joined"], n["blocking"], settings.min_score)
+    # Generating positions, not cells: a filter on computed cells would be inferred and pulled through the whole plan.
+    each = df.select(*keep, "cells", F.explode(F.array(*map(F.lit, range(len(agent_subsets()))))).alias("at")).select(*keep, F.get("cells", F.col("at")).alias("cell"))
+    return T.materialise(each, cell=F.col("cell")).select(*keep, "cell.*").select(*keep, "seq", "config", "n_agents", "agents", judged.alias("verdict"), "score")
 
 
 def ranked(rates: DataFrame) -> DataFrame:
@@ -223,12 +244,12 @@ def key_issues(issues: Column, most: int = 3, cut: int = 100) -> Column:
 def issue_rows(reports: DataFrame, *keep: str) -> DataFrame:
     """One row for each issue. ``inline`` keeps nested-column rules away from the report's expressions."""
     numbered = F.transform("issues", lambda i, at: F.struct(at.alias("issue_idx"), *[i[n].alias(n) for n in ("type", "severity", "message", "line_number", "suggestion", "confidence", "agent_source")]))
-    return reports.select("sample_id", *keep, F.inline(numbered))
+    return generated(reports, numbered, "sample_id", *keep)
 
 
 def type_severity(reports: DataFrame, top: int | None = None) -> DataFrame:
     """Issue types by severity, most frequent first."""
-    rows = reports.select(F.inline(F.transform("issues", lambda i: F.struct(i["type"].alias("type"), i["severity"].alias("severity")))))
+    rows = generated(reports, F.transform("issues", lambda i: F.struct(i["type"].alias("type"), i["severity"].alias("severity"))))
     out = rows.groupBy("type").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("severity") == s).alias(s) for s in ("low", "medium", "high", "critical")])
     return out if top is None else out.orderBy(F.col("n").desc(), "type").limit(top)
 
@@ -282,15 +303,16 @@ def progress(df: DataFrame, order: str = "seq", buckets: str | None = None) -> D
 def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     """Mutual information of two discrete columns, in bits."""
     pair = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    n = pair.agg(F.sum("n").alias("all"))
-    left, right = pair.groupBy(a).agg(F.sum("n").alias("na")), pair.groupBy(b).agg(F.sum("n").alias("nb"))
-    full = pair.join(left, a).join(right, b).crossJoin(F.broadcast(n))  # n has one row
+    # Windows over the few pairs, so that the rows behind them are read once.
+    sums = {"na": Window.partitionBy(a), "nb": Window.partitionBy(b), "all": Window.partitionBy()}
+    full = pair.withColumns({k: F.sum("n").over(w) for k, w in sums.items()})
     p = F.col("n") / F.col("all")
     return full.agg(F.sum(p * F.log2(F.col("n") * F.col("all") / (F.col("na") * F.col("nb")))).alias("bits"))
 
 
 def agent_correlation(df: DataFrame) -> DataFrame:
-    """Correlation of each pair of agent scores."""
+    """Correlation of each pair of agent scores; null where a score never varies."""
     pairs = list(combinations(AGENTS, 2))
-    wide = df.agg(*[F.corr(f"{a}_score", f"{b}_score").alias(f"{a}_{b}") for a, b in pairs])
+    spread = lambda a: F.stddev_pop(f"{a}_score")
+    wide = df.agg(*[F.try_divide(F.covar_pop(f"{a}_score", f"{b}_score"), spread(a) * spread(b)).alias(f"{a}_{b}") for a, b in pairs])
     return wide.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}_{b}").alias("rho")) for a, b in pairs])))
