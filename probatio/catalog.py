@@ -268,7 +268,7 @@ def confusion_by_language(spark, sf_dir):
 
 def reviews(spark, sf_dir) -> DataFrame:
     """Reports without the correctness agent, which do not all fail."""
-    source = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.col("text").alias("code"), "source", "lang")
+    source = sources.spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("sample_id"), F.col("text").alias("code"), "source", "lang")
     settings = Settings(agents=("security", "performance", "style"))
     return plan.with_report(plan.analyse(source, settings), settings.agents, settings)
 
@@ -456,7 +456,7 @@ def feedback_means(spark, sf_dir):
 
 
 def _templated(spark, sf_dir) -> DataFrame:
-    return templates.programs(table(spark, sf_dir, "part"))
+    return templates.programs(sources.spread(table(spark, sf_dir, "part")))
 
 
 @query("tree_facts", templates.FACTS_ORACLE)
@@ -484,15 +484,17 @@ def tree_classes(spark, sf_dir):
 @query("tree_issues", templates.ISSUES_ORACLE)
 def tree_issues(spark, sf_dir):
     df = plan.analyse(_templated(spark, sf_dir))
-    rows = [df.select(F.lit(a).alias("agent"), "sample_id", F.explode_outer(f"{a}_issues").alias("i")).where("i IS NOT NULL") for a in ("correctness", "security", "performance", "style")]
-    own = reduce(DataFrame.unionByName, rows).select("agent", "sample_id", F.col("i.type").alias("type"), F.col("i.severity").alias("severity"))
+    def kinds(agent):
+        return F.transform(f"{agent}_issues", lambda i: F.struct(F.lit(agent).alias("agent"), i["type"].alias("type"), i["severity"].alias("severity")))
+
+    own = corpus.generated(df, F.concat(*map(kinds, ("correctness", "security", "performance", "style"))))
     wanted = own.where(F.concat_ws(".", "agent", "type").isin(*templates.ISSUE_TYPES))
     return wanted.groupBy("agent", "type", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("line_rules_templated", templates.LINE_RULES_ORACLE)
 def line_rules_templated(spark, sf_dir):
-    samples = templates.risky_lines(table(spark, sf_dir, "part"))
+    samples = templates.risky_lines(sources.spread(table(spark, sf_dir, "part")))
     df = plan.with_text(plan.prepared(samples, Settings()))
     found = F.flatten(F.array(*[security.line_rule_issues(r, F.col("lines"), F.col("code"), F.col("code_lower")) for r in R.LINE_RULES]))
     return df.select(F.explode(found).alias("i")).groupBy(F.col("i.type").alias("rule"), F.col("i.severity").alias("severity")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("i.confidence"), 4).alias("confidence"))

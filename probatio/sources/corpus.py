@@ -29,9 +29,19 @@ def rows(spark: SparkSession, samples: list[tuple[str, str, dict | None]]) -> Da
     return df.withColumn("is_patch_context", ~flags[0].isin("", "false", "0", "none") | ~flags[1].isin("", "false", "0", "none"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan dealt over all cores if it has less than two splits a core.
+
+    Splits of a small file may be empty, as a row group is read by one of them
+    only. Large tables have splits enough, and their text is not shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(2 * cores) if not scan.isStreaming and scan.rdd.getNumPartitions() < 2 * cores else scan
+
+
 def table(df: DataFrame, key: str, text: str) -> DataFrame:
     """A table's text column as samples."""
-    return df.select(F.col(key).alias("sample_id"), F.col(text).alias("code"))
+    return spread(df).select(F.col(key).alias("sample_id"), F.col(text).alias("code"))
 
 
 def patches(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
