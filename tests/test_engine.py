@@ -198,3 +198,15 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 200
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_materialised_columns_stay_apart(spark):
+    df = T.materialise(spark.range(5), a=F.col("id") * 2)
+    plan = T.materialise(df, b=F.col("a") + F.col("a")).where("b > 3")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Project") == 2 and plan.startswith("Filter")
+
+
+def test_small_scans_are_spread(spark):
+    scan = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    assert sources.spread(scan).rdd.getNumPartitions() == 2 * cores and sources.spread(scan.repartition(2 * cores)).rdd.getNumPartitions() == 2 * cores
