@@ -5,11 +5,13 @@ characters up to three). A block's points pass to its parent in full, to the
 grandparent by half and further up by 1 / (3 x level), and each candidate's sum
 is discounted by its link density. The best container is kept with those
 siblings that score well or read as prose. Parts that are never article text
-are cut before scoring: by tag, by role, and by the words of class and id.
+are cut before scoring: by tag, by role, and by the words of class and id. The
+words do not cut what may hold the article itself, see ``exempt``.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from html import unescape
 
@@ -54,10 +56,10 @@ LEVELS = 64
 
 
 class Node:
-    __slots__ = ("children", "likely", "mark", "parent", "score", "tag")
+    __slots__ = ("children", "likely", "mark", "parent", "score", "tag", "unlikely")
 
-    def __init__(self, tag: str, parent: Node | None = None, mark: str = "", likely: int = 0):
-        self.tag, self.parent, self.mark, self.likely = tag, parent, mark, likely
+    def __init__(self, tag: str, parent: Node | None = None, mark: str = "", likely: int = 0, unlikely: bool = False):
+        self.tag, self.parent, self.mark, self.likely, self.unlikely = tag, parent, mark, likely, unlikely
         self.children: list = []
         self.score = 0.0
 
@@ -67,7 +69,7 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 def parse(html: str) -> Node:
-    """A tree of Nodes and strings; what is dropped has ``mark`` "x"."""
+    """A tree of Nodes and strings; what is dropped has ``mark`` "x", what its words speak against "w"."""
     root = Node("#root")
     stack = [root]
     at, n = 0, len(html)
@@ -131,7 +133,7 @@ def parse(html: str) -> Node:
                         break
                 elif stack[k].tag in SCOPE:
                     break
-        mark, likely = "", 0
+        mark, likely, unlikely = "", 0, False
         if found[3] and not found[3].isspace():
             own = _attributes(found[3])
             words = f"{own.get('class', '')} {own.get('id', '')}"
@@ -139,11 +141,13 @@ def parse(html: str) -> Node:
                 mark = "x"
             elif words != " " and tag not in ("html", "body"):
                 likely = 1 if LIKELY.search(words) else 0
-                if UNLIKELY.search(words) and tag not in ("article", "main"):
-                    mark = "x"
+                unlikely = bool(UNLIKELY.search(words))
+                if unlikely and tag not in ("article", "main"):
+                    # A name of its own that only speaks for the article outweighs the others; both together give no points.
+                    mark, likely = "" if any(LIKELY.search(w) and not UNLIKELY.search(w) for w in words.split()) else "w", 0
         if tag in DROPPED:
             mark = "x"
-        node = Node(tag, stack[-1], mark, likely)
+        node = Node(tag, stack[-1], mark, likely, unlikely)
         stack[-1].children.append(node)
         if not found[4] or tag not in ("svg", "math"):
             stack.append(node)
@@ -159,8 +163,58 @@ def _inside_article(node: Node) -> bool:
     return False
 
 
+def exempt(root: Node) -> None:
+    """Take the mark "w" from what may hold the article, so that it is scored.
+
+    That is a part with an article or main larger than any outside marked parts,
+    or with most of the page's text if no likely part outside has a tenth of it.
+    """
+    order, waiting = [], [root]
+    while waiting:
+        node = waiting.pop()
+        order.append(node)
+        waiting.extend(x for x in node.children if isinstance(x, Node) and x.mark != "x")
+    if not any(x.mark for x in order):
+        return
+    # Characters of each part, of its largest article or main, and of what is outside marked parts below it.
+    chars, anchor, clean = {}, {}, {}
+    for node in reversed(order):
+        below = [x for x in node.children if isinstance(x, Node) and x.mark != "x"]
+        own = sum(len(x.strip()) for x in node.children if isinstance(x, str))
+        chars[id(node)] = own + sum(chars[id(x)] for x in below)
+        clean[id(node)] = own + sum(clean[id(x)] for x in below if not x.mark)
+        anchor[id(node)] = max((anchor[id(x)] for x in below), default=0)
+        if node.tag in ("article", "main") and not node.unlikely:
+            anchor[id(node)] = chars[id(node)]
+    place = {id(x): k for k, x in enumerate(order)}
+    articles = likely = 0
+    marked: list = []
+    fresh = root
+    while True:
+        waiting = [fresh]
+        while waiting:
+            node = waiting.pop()
+            if node.tag in ("article", "main") and not node.unlikely:
+                articles = max(articles, clean[id(node)])
+            if node.tag in ("article", "main") or node.likely or (node is fresh and node is not root):
+                likely = max(likely, clean[id(node)])
+            for x in node.children:
+                if isinstance(x, Node) and x.mark == "w":
+                    heapq.heappush(marked, (-chars[id(x)], place[id(x)], x))
+                elif isinstance(x, Node) and not x.mark:
+                    waiting.append(x)
+        while marked:
+            fresh = heapq.heappop(marked)[-1]
+            if anchor[id(fresh)] > articles or (2 * chars[id(fresh)] > chars[id(root)] > 10 * likely):
+                fresh.mark = ""
+                break
+        else:
+            return
+
+
 def prune(root: Node) -> None:
     """Cut dropped parts, iteratively; a page header goes unless it is the article's own."""
+    exempt(root)
     waiting = [root]
     while waiting:
         node = waiting.pop()
