@@ -290,6 +290,35 @@ def _own_text(node: Node) -> str:
     return "".join(out)
 
 
+def _whole(top: Node) -> Node:
+    """The outermost article around ``top``, else the nearest main, else ``top``."""
+    article = main = None
+    up: Node | None = top
+    while up is not None:
+        if up.tag == "article":
+            article = up
+        elif up.tag == "main" and main is None:
+            main = up
+        up = up.parent
+    return article or main or top
+
+
+def _grouped(node: Node, scored: dict[int, Node]) -> list[Node]:
+    """The block or scored children of ``node``, and each run of text and inline elements between them as one node."""
+    out: list[Node] = []
+    run: Node | None = None
+    for x in node.children:
+        if isinstance(x, Node) and (x.tag in BLOCK or id(x) in scored):
+            run = None
+            out.append(x)
+            continue
+        if run is None:
+            run = Node("#text", node)
+            out.append(run)
+        run.children.append(x)
+    return out
+
+
 def main_container(root: Node) -> list[Node]:
     """The best-scoring container and the siblings that belong to it."""
     sizes = _sizes(root)
@@ -320,18 +349,19 @@ def main_container(root: Node) -> list[Node]:
         return [root]
     worth = {k: x.score * (1 - density(x)) for k, x in scored.items()}
     top = max(scored.values(), key=lambda x: worth[id(x)])
+    floor = max(10.0, 0.2 * worth[id(top)])
+    top = _whole(top)
     if top.parent is None:
         return [top]
-    floor = max(10.0, 0.2 * worth[id(top)])
     kept = []
-    for x in top.parent.children:
-        if not isinstance(x, Node):
-            continue
+    for x in _grouped(top.parent, scored | {id(top): top}):
+        if x.tag == "#text":
+            sizes |= _sizes(x)
         if x is top or (top.tag not in ("article", "main", "body") and worth.get(id(x), 0) >= floor):
             kept.append(x)
         elif x.tag == "article" and top.tag == "article":
             kept.append(x)
-        elif x.tag == "p" and top.tag not in ("article", "main"):
+        elif x.tag in ("p", "#text") and top.tag not in ("article", "main"):
             text = SPACE.sub(" ", _own_text(x)).strip()
             if (len(text) > 80 and density(x) < 0.25) or (text and density(x) == 0 and re.search(r"\.( |$)", text)):
                 kept.append(x)

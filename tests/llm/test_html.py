@@ -24,3 +24,17 @@ def test_unlikely_parts_are_still_cut(cut):
     talk = TALK if "<article>" not in cut else TALK[:160]
     assert main_text(f"<body><article>{STORY}</article>{cut}{talk}</body>").split("\n") == PARAGRAPHS
     assert main_text(f"<body><div class='with-sidebar'><article>{STORY}</article>{cut}{talk}</div></body>").split("\n") == PARAGRAPHS
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_the_article_is_kept_whole(tag):
+    long = "".join(f"<p>{'One, two, ' * 5}{'x' * 240} {k}.</p>" for k in range(5))
+    rest = "<h3>Head</h3><blockquote>Said</blockquote><ul><li>item</li></ul><table><tr><td>cell</td></tr></table>loose <b>text</b><section><p>A short paragraph that closes the article, as such do here</p></section>"
+    got = main_text(f"<body><{tag}><section>{long}</section>{rest}</{tag}><div><p>Of no concern at all, to anyone, anywhere</p></div></body>").split("\n")
+    assert len(got) == 11 and got[5:] == ["Head", "Said", "item", "cell", "loose text", "A short paragraph that closes the article, as such do here"]
+
+
+def test_text_beside_the_container_reads_as_prose():
+    page = f"<body><div class=x>Loose words, with <b>bold</b> ones, end here.<div>{STORY}</div><span>by</span></div></body>"
+    assert main_text(page).split("\n") == ["Loose words, with bold ones, end here.", *PARAGRAPHS]
+    assert main_text(f"<body><font>{STORY}</font></body>").split("\n") == PARAGRAPHS
