@@ -16,6 +16,13 @@ like it and goes on from there, so a dense cell yields one link a text. Cells
 over ``CELL_ROWS`` are searched in pairs of blocks. Every link is then verified
 exactly on the two whole shingle sets, and verified links become components.
 
+Fingerprints miss some pairs, so an exact search follows between components. Two
+sets of similarity s share one of the first n - ceil(s n) + 1 of their n shingles
+in any order that all sets have in common; the order puts frequent shingles last.
+What shares such a shingle is compared by size and by the parity of its shingles
+in ``PARITY`` places, whose bits differ at most as often as the sets do: both
+bounds lose no pair. Links found so are verified and join components.
+
 Texts are collapsed by hash first, so copies cost one row each. Null texts count
 as empty, and texts without words all have the empty shingle; a text of fewer
 words than a shingle is one shingle. Repeated rows stay, each with the component
@@ -44,6 +51,10 @@ VOTERS = 4
 AGREE = 40
 CELL_ROWS = 4096
 STEP = 4096
+#: Bits that hold the parity of a set's shingles.
+PARITY = 512
+#: Texts that tell frequent shingles, how many of them hold one, and how many shingles count.
+SAMPLE, FREQUENT, MOST_FREQUENT = 4000, 4, 1 << 17
 _draw = np.random.default_rng(20_240_607)
 FACTORS = _draw.integers(0, 1 << 63, TABLES * PARTS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 SALTS = _draw.integers(0, 1 << 63, TABLES * PARTS, dtype=np.uint64)
@@ -84,10 +95,39 @@ def parts_of(hashes: np.ndarray) -> np.ndarray:
     return ((votes > 0) @ PLACES).astype(np.uint16)
 
 
-def _sketch(batches, width: int):
+def prefix(hashes: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, one of which any similar set has among its own first ones."""
+    n = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1
+    order = hashes >> np.uint64(1)
+    if len(frequent):
+        common = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
+        order = order | common.astype(np.uint64) << np.uint64(63)
+    # By the whole hash where the shortened ones are equal.
+    return hashes[np.lexsort((hashes, order))[: min(n, len(hashes))]]
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    return np.packbits(np.bincount((_mix(hashes) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1)
+
+
+def _sketch(batches, width: int, similarity: float, shipped):
+    names = ["id", "node", "sketch", "size", "parity", "first"]
     for batch in batches:
-        found = [parts_of(shingle_set(t, width)).tobytes() for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["id", "node", "sketch"])
+        sets = [shingle_set(t, width) for t in batch.column(2).to_pylist()]
+        more = [
+            pa.array([parts_of(x).tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity(x).tobytes() for x in sets], pa.binary()),
+            pa.array([prefix(x, shipped.value, similarity).view(np.int64) for x in sets], pa.list_(pa.int64())),
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], names=names)
+
+
+def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """Shingles that many of a sample of ``texts`` (node, text) have, sorted. They order prefixes; no result hangs on them."""
+    part = F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(max(1, texts.count() // SAMPLE))) == 0
+    sets = texts.where(part).select("node", "text").mapInArrow(partial(_sets, width=width), "node long, shingles array<long>")
+    counts = sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    found = [r["s"] for r in counts.orderBy(F.col("n").desc(), "s").limit(MOST_FREQUENT).collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
 
 
 def _matrix(column) -> np.ndarray:
@@ -181,6 +221,58 @@ def candidates(nodes: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     return dealt.repartition(n, "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_search, "a long, b long").distinct()
 
 
+def meet(cell: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, bits: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one cell (rows are sorted by it) and of unlike roots that no bound rules out."""
+    left, right = [], []
+    at, lag = np.arange(len(cell) - 1), 1
+    while len(at := at[at + lag < len(cell)]) and len(at := at[cell[at] == cell[at + lag]]):
+        a, b = at, at + lag
+        small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        use = (root[a] != root[b]) & (small >= similarity * large - 1e-6)
+        a, b = a[use], b[use]
+        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        use = apart <= (1 - similarity) / (1 + similarity) * (size[a] + size[b]) + 1e-6
+        left.append(np.minimum(node[a[use]], node[b[use]]))
+        right.append(np.maximum(node[a[use]], node[b[use]]))
+        lag += 1
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _meet(batches, similarity: float):
+    def pairs(rows):
+        found = np.unique(np.stack(meet(*rows, similarity), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    waiting: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = [np.asarray(c) for c in batch.columns[:4]] + [np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, PARITY // 64)]
+        if waiting and waiting[-1][0][-1] == own[0][0] == own[0][-1]:
+            waiting.append(own)
+            continue
+        rows = [np.concatenate(x) for x in zip(*waiting, own, strict=True)]
+        edge = int(np.searchsorted(rows[0], rows[0][-1]))
+        waiting = [[x[edge:] for x in rows]]
+        yield pairs([x[:edge] for x in rows])
+    if waiting:
+        yield pairs([np.concatenate(x) for x in zip(*waiting, strict=True)])
+
+
+def strays(nodes: DataFrame, rooted: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of ``nodes`` in unlike components that may be similar: none is missing."""
+    named = nodes.join(rooted.select(F.col("node").alias("member"), "root"), F.col("node") == F.col("member"), "left").select("node", F.coalesce("root", "node").alias("root"), "size", "parity", "first")
+    named = checkpointed(named)
+    cells = named.select(F.explode("first").alias("cell"), "node", "root")
+    # Minima are partial sums, so a shingle that one large component shares is dropped on the way.
+    open_cells = cells.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
+    met = cells.select("cell", "node").join(open_cells.hint("shuffle_hash"), "cell").join(named.select("node", "root", "size", "parity"), "node").select("cell", "node", "root", "size", "parity")
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(nodes.sparkSession, 8192)
+    return met.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(partial(_meet, similarity=similarity), "a long, b long").distinct()
+
+
 def _sets(batches, width: int):
     for batch in batches:
         found = [shingle_set(t, width).view(np.int64) for t in batch.column(1).to_pylist()]
@@ -214,10 +306,16 @@ def _classes(docs: DataFrame, width: int, similarity: float, id_col: str, text_c
     small_batches(docs.sparkSession, 256)
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col).alias("id"), text_node(text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = checkpointed(keyed.mapInArrow(partial(_sketch, width=width), f"id {kind}, node long, sketch binary"))
-    nodes = checkpointed(own.groupBy("node").agg(F.min("id").alias("least"), F.first("sketch").alias("sketch")))
+    shipped = docs.sparkSession.sparkContext.broadcast(frequent_shingles(keyed, width))
+    own = checkpointed(keyed.mapInArrow(partial(_sketch, width=width, similarity=similarity, shipped=shipped), f"id {kind}, node long, sketch binary, size long, parity binary, first array<long>"))
+    nodes = checkpointed(own.groupBy("node").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("sketch", "size", "parity", "first")]))
     pairs = checkpointed(candidates(nodes, cell_rows))
-    rooted = components(verified(pairs, keyed, nodes, width, similarity)).withColumnRenamed("node", "member")
+    rooted = components(verified(pairs, keyed, nodes, width, similarity))
+    more = checkpointed(verified(checkpointed(strays(nodes, rooted, similarity)), keyed, nodes, width, similarity))
+    if not more.isEmpty():
+        # A link between texts is one between their components.
+        rooted = components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    rooted = rooted.withColumnRenamed("node", "member")
     named = nodes.join(rooted, nodes["node"] == rooted["member"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     first = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("first"))
     classes = named.join(first, "root").select("node", "least", F.col("first.least").alias("component"), (F.col("node") == F.col("first.node")).alias("leads"))

@@ -60,3 +60,37 @@ def test_long_texts_are_read_whole():
     long = " ".join(f"w{k}" for k in range(20_000))
     assert len(m.shingle_set(long, 5)) == 19_996
     assert (m.parts_of(m.shingle_set(long, 5)) == m.parts_of(m.shingle_set(long + " end", 5))).sum() > 60
+
+
+#: Seeds of pairs at similarity 0.8 that no fingerprint brings together.
+MISSED = [45, 197, 206, 231, 255, 279, 483, 692, 710, 1474]
+
+
+def test_pairs_that_fingerprints_miss(spark):
+    rows = []
+    for seed in MISSED:
+        words = [f"s{seed}w{k}" for k in range(94)]
+        rows += [(seed, " ".join(words)), (seed + 10_000, " ".join(words[:-10] + [f"s{seed}e{k}" for k in range(10)]))]
+        # One shingle less in common is not enough.
+        rows.append((seed + 20_000, " ".join([f"s{seed}f{k}" for k in range(11)] + words[11:])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component"] for r in m.similar_groups(df).collect()}
+    assert [got[k] for k, _ in rows] == _brute(rows)
+    assert all(got[k + 10_000] == k and got[k + 20_000] == k + 20_000 for k in MISSED)
+
+
+def test_no_bound_rules_out_a_similar_pair():
+    draw = np.random.default_rng(3)
+    for n in (1, 2, 4, 5, 9, 10, 90, 700, 3000):
+        frequent = np.sort(draw.integers(0, 1 << 63, 50, dtype=np.uint64))
+        for _ in range(40):
+            pool = np.concatenate([draw.integers(0, 1 << 63, 2 * n, dtype=np.uint64), frequent[:40]])
+            a = np.unique(draw.choice(pool, n))
+            out = int(draw.integers(0, len(a) // 5 + 1))
+            b = np.unique(np.concatenate([draw.permutation(a)[out:], draw.integers(0, 1 << 63, int(draw.integers(0, len(a) // 8 + 1)), dtype=np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            if common < 0.8 * (len(a) + len(b) - common):
+                continue
+            assert len(np.intersect1d(m.prefix(a, frequent, 0.8), m.prefix(b, frequent, 0.8)))
+            rows = [np.array([7, 7]), np.array([2, 1]), np.array([1, 2]), np.array([len(a), len(b)]), np.stack([m.parity(a), m.parity(b)]).view(np.uint64)]
+            assert [x.tolist() for x in m.meet(*rows, 0.8)] == [[1], [2]]
