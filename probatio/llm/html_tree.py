@@ -2,11 +2,15 @@
 
 Paragraph-like blocks earn points (one, one for each comma, one for each 100
 characters up to three). A block's points pass to its parent in full, to the
-grandparent by half and further up by 1 / (3 x level), and each candidate's sum
-is discounted by its link density. The best container is kept with those
-siblings that score well or read as prose. Parts that are never article text
-are cut before scoring: by tag, by role, and by the words of class and id. The
-words do not cut what may hold the article itself, see ``exempt``.
+grandparent by half and are halved at each level further up, and each
+candidate's sum is discounted by its link density. The best container is kept with those
+siblings that score well, read as prose or lie between such. Parts that are
+never article text are cut before scoring: by tag, by role, and by the words of
+class and id. The words do not cut what may hold the article itself, see
+``exempt``.
+
+Parsing and scoring take time linear in the page, whatever its markup: tags are
+scanned by attribute without going back, and points pass up level by level.
 """
 
 from __future__ import annotations
@@ -15,11 +19,11 @@ import heapq
 import re
 from html import unescape
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>",
-    re.S,
-)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A comment, section or declaration, or the start of a tag (see ``tag_end``).
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+#: The rest of a tag: quotes count behind an equals sign only, and nothing is tried twice.
+REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+>")
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "frame", "keygen"}
 BLOCK = {
@@ -28,8 +32,8 @@ BLOCK = {
     "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "head",
 }
 DROPPED = RAW | {
-    "nav", "footer", "aside", "form", "button", "select", "option", "input", "label", "fieldset", "svg", "canvas", "object", "embed", "applet", "audio", "video", "map",
-    "menu", "dialog", "head", "math", "datalist", "progress", "meter", "search",
+    "nav", "footer", "aside", "form", "button", "select", "option", "input", "fieldset", "svg", "canvas", "embed", "applet", "audio", "video", "map",
+    "menu", "dialog", "head", "datalist", "progress", "meter", "search",
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog", "toolbar", "tablist", "status"}
 #: Words of class and id that mark what is not the article.
@@ -50,9 +54,10 @@ CLOSES = {
 SCOPE = {"ul", "ol", "dl", "table", "html", "body", "div", "article", "section", "main", "aside", "nav", "header", "footer", "form", "blockquote", "td", "th", "figure"}
 SPACE = re.compile("[ \\t\\n\\r\\f\\v\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 PARAGRAPHS = {"p", "pre", "td", "blockquote", "li", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "div", "section", "article", "main"}
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 MIN_TEXT = 25
-#: Ancestors that a paragraph's points reach.
-LEVELS = 64
+#: Link density from which a block among kept ones is a list of links.
+LINKS = 0.25
 
 
 class Node:
@@ -68,10 +73,101 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)}
 
 
+class _Open:
+    """The open elements: where blocks lie among them, and how many of a tag are open, below the nearest block or at all."""
+
+    def __init__(self, root: Node):
+        self.stack, self.block_at, self.blocks, self.inline = [root], [0], {}, [{}]
+
+    def push(self, node: Node) -> None:
+        if node.tag in BLOCK:
+            self.block_at.append(len(self.stack))
+            self.blocks[node.tag] = self.blocks.get(node.tag, 0) + 1
+            self.inline.append({})
+        else:
+            self.inline[-1][node.tag] = self.inline[-1].get(node.tag, 0) + 1
+        self.stack.append(node)
+
+    def close(self, at: int) -> None:
+        """Close the element at this place and all that are open in it."""
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            if tag in BLOCK:
+                self.block_at.pop()
+                self.inline.pop()
+                self.blocks[tag] -= 1
+            else:
+                self.inline[-1][tag] -= 1
+
+    def nearest(self, tags, stop=()) -> int:
+        """Place of the nearest open block of ``tags`` before one of ``stop``; 0 if there is none."""
+        if any(self.blocks.get(t) for t in tags):
+            for at in reversed(self.block_at):
+                if self.stack[at].tag in tags:
+                    return at
+                if self.stack[at].tag in stop:
+                    break
+        return 0
+
+    def end(self, tag: str) -> None:
+        """An end tag; an inline one does not close a block around it."""
+        if tag in BLOCK:
+            if at := self.nearest((tag,)):
+                self.close(at)
+        elif self.inline[-1].get(tag):
+            at = len(self.stack) - 1
+            while self.stack[at].tag != tag:
+                at -= 1
+            self.close(at)
+
+    def begin(self, tag: str) -> None:
+        """What a start tag closes: a block ends an open paragraph, and the inline elements in it."""
+        if tag in BLOCK and self.stack[self.block_at[-1]].tag == "p":
+            self.close(self.block_at[-1])
+        if tag not in CLOSES:
+            return
+        if tag in ("option", "optgroup"):
+            if self.stack[-1].tag in CLOSES[tag]:
+                self.close(len(self.stack) - 1)
+            return
+        while at := self.nearest(CLOSES[tag], SCOPE):
+            self.close(at)
+            if tag not in ("tr", "tbody", "thead", "tfoot") or self.stack[-1].tag not in CLOSES[tag]:
+                break
+
+
+class _Tags:
+    """Ends of tags and of raw text in one page, each searched for in vain once at most."""
+
+    def __init__(self, html: str):
+        self.html, self.quotes, self.endless = html, True, set()
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``; -1 if it never does.
+
+        Where a quote is never closed, tags end at their first ">" from there on.
+        """
+        if self.quotes:
+            if found := REST.match(self.html, at):
+                return found.end()
+            self.quotes = False
+        return self.html.find(">", at) + 1 or -1
+
+    def raw_end(self, tag: str, at: int) -> tuple[int, int]:
+        """Start and end of the end tag of raw text; (-1, -1) if there is none."""
+        if tag not in self.endless:
+            found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(self.html, at)
+            if found and (end := self.html.find(">", found.end())) >= 0:
+                return found.start(), end + 1
+            self.endless.add(tag)
+        return -1, -1
+
+
 def parse(html: str) -> Node:
     """A tree of Nodes and strings; what is dropped has ``mark`` "x", what its words speak against "w"."""
     root = Node("#root")
-    stack = [root]
+    opened, tags = _Open(root), _Tags(html)
+    stack = opened.stack
     at, n = 0, len(html)
 
     def text(piece: str) -> None:
@@ -83,9 +179,13 @@ def parse(html: str) -> Node:
         if not found:
             text(html[at:])
             break
-        text(html[at : found.start()])
-        at = found.end()
         tag = found[2]
+        end = tags.tag_end(found.end()) if tag else found.end()
+        if end < 0:
+            text(html[at:])
+            break
+        text(html[at : found.start()])
+        at = end
         if not tag:
             if found[0].startswith("<![CDATA["):
                 text(found[0][9:].removesuffix("]]>"))
@@ -94,48 +194,25 @@ def parse(html: str) -> Node:
         if found[1]:
             if tag == "br":
                 stack[-1].children.append(" ")
-            elif tag == "p" and not any(x.tag == "p" for x in stack):
-                continue
             else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
-                    # An inline end tag does not close a block around it.
-                    if tag not in BLOCK and stack[k].tag in BLOCK:
-                        break
+                opened.end(tag)
             continue
+        rest = html[found.end() : end - 1]
+        closed = rest.endswith("/")
         if tag in VOID:
             if tag == "hr":
                 stack[-1].children.append(Node("hr", stack[-1]))
-            else:
-                stack[-1].children.append(" " if tag in ("br", "wbr") and tag == "br" else "")
+            elif tag == "br":
+                stack[-1].children.append(" ")
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            at = end.end() if end else (n if tag != "title" else at)
+            end = tags.raw_end(tag, at)[1]
+            at = end if end >= 0 else at if tag == "title" else n
             continue
-        if tag in BLOCK:
-            # A block ends an open paragraph, and the inline elements in it.
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCK:
-                    break
-        if tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in CLOSES[tag]:
-                    del stack[k:]
-                    if tag not in ("tr", "tbody", "thead", "tfoot"):
-                        break
-                    if stack[-1].tag not in CLOSES[tag]:
-                        break
-                elif stack[k].tag in SCOPE:
-                    break
+        opened.begin(tag)
         mark, likely, unlikely = "", 0, False
-        if found[3] and not found[3].isspace():
-            own = _attributes(found[3])
+        if rest and not rest.isspace():
+            own = _attributes(rest)
             words = f"{own.get('class', '')} {own.get('id', '')}"
             if own.get("role", "").lower() in ROLES or "hidden" in own or own.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", ""), re.I):
                 mark = "x"
@@ -149,20 +226,11 @@ def parse(html: str) -> Node:
             mark = "x"
         node = Node(tag, stack[-1], mark, likely, unlikely)
         stack[-1].children.append(node)
-        if not found[4] or tag not in ("svg", "math"):
-            stack.append(node)
+        if not closed or tag not in ("svg", "math"):
+            opened.push(node)
     return root
 
 
-def _inside_article(node: Node) -> bool:
-    up = node.parent
-    while up is not None:
-        if up.tag in ("article", "main"):
-            return True
-        up = up.parent
-    return False
-
-
 def exempt(root: Node) -> None:
     """Take the mark "w" from what may hold the article, so that it is scored.
 
@@ -215,16 +283,17 @@ def exempt(root: Node) -> None:
 def prune(root: Node) -> None:
     """Cut dropped parts, iteratively; a page header goes unless it is the article's own."""
     exempt(root)
-    waiting = [root]
+    waiting = [(root, False)]
     while waiting:
-        node = waiting.pop()
+        node, inside = waiting.pop()
+        inside = inside or node.tag in ("article", "main")
         kept = []
         for x in node.children:
             if isinstance(x, Node):
-                if x.mark or (x.tag == "header" and not _inside_article(x)):
+                if x.mark or (x.tag == "header" and not inside):
                     kept.append(" ")
                     continue
-                waiting.append(x)
+                waiting.append((x, inside))
             kept.append(x)
         node.children = kept
 
@@ -319,6 +388,33 @@ def _grouped(node: Node, scored: dict[int, Node]) -> list[Node]:
     return out
 
 
+def worths(root: Node, density) -> list[tuple[Node, float]]:
+    """Each candidate and its discounted score, outer ones before inner ones."""
+    order, waiting = [], [root]
+    while waiting:
+        node = waiting.pop()
+        order.append(node)
+        waiting.extend(x for x in node.children if isinstance(x, Node))
+    # Points that reach each node from below: of paragraphs right in it, and half of what reached its children.
+    reached = {id(x): 0.0 for x in order}
+    scored: dict[int, Node] = {}
+    for node in reversed(order):
+        if node is root:
+            break
+        up = node.parent
+        passed = reached[id(node)] / 2
+        if node.tag in PARAGRAPHS:
+            text = SPACE.sub(" ", _own_text(node)).strip()
+            if len(text) >= MIN_TEXT:
+                passed += (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - density(node))
+                scored[id(up)] = up
+        if id(node) in scored:
+            node.score = reached[id(node)] + 25 * node.likely + (25 if node.tag in ("article", "main") else 5 if node.tag in ("div", "section") else 0)
+            scored[id(up)] = up
+        reached[id(up)] += passed
+    return [(x, x.score * (1 - density(x))) for x in order if id(x) in scored and x is not root]
+
+
 def main_container(root: Node) -> list[Node]:
     """The best-scoring container and the siblings that belong to it."""
     sizes = _sizes(root)
@@ -327,47 +423,36 @@ def main_container(root: Node) -> list[Node]:
         chars, linked = sizes[id(node)]
         return linked / chars if chars else 0.0
 
-    scored: dict[int, Node] = {}
-    waiting = [root]
-    while waiting:
-        node = waiting.pop()
-        waiting.extend(x for x in node.children if isinstance(x, Node))
-        if node.tag not in PARAGRAPHS:
-            continue
-        text = SPACE.sub(" ", _own_text(node)).strip()
-        if len(text) < MIN_TEXT:
-            continue
-        points = (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - density(node))
-        up, level = node.parent, 0
-        while up is not None and up.tag != "#root" and level < LEVELS:
-            if id(up) not in scored:
-                scored[id(up)] = up
-                up.score += 25 * up.likely + (25 if up.tag in ("article", "main") else 5 if up.tag in ("div", "section") else 0)
-            up.score += points if level == 0 else points / 2 if level == 1 else points / (3 * level)
-            up, level = up.parent, level + 1
-    if not scored:
+    found = worths(root, density)
+    if not found:
         return [root]
-    worth = {k: x.score * (1 - density(x)) for k, x in scored.items()}
-    top = max(scored.values(), key=lambda x: worth[id(x)])
+    worth = {id(x): w for x, w in found}
+    scored = {id(x): x for x, _ in found}
+    top = max((x for x, _ in found), key=lambda x: worth[id(x)])
     floor = max(10.0, 0.2 * worth[id(top)])
     top = _whole(top)
     if top.parent is None:
         return [top]
+    group = _grouped(top.parent, scored | {id(top): top})
+    alone = top.tag in ("article", "main")
     kept = []
-    for x in _grouped(top.parent, scored | {id(top): top}):
+    for x in group:
         if x.tag == "#text":
             sizes |= _sizes(x)
-        if x is top or (top.tag not in ("article", "main", "body") and worth.get(id(x), 0) >= floor):
-            kept.append(x)
-        elif x.tag == "article" and top.tag == "article":
-            kept.append(x)
-        elif x.tag in ("p", "#text") and top.tag not in ("article", "main"):
+        use = x is top or (x.tag == "article" and top.tag == "article") or (not alone and top.tag != "body" and worth.get(id(x), 0) >= floor)
+        if not use and x.tag in ("p", "#text") and not alone:
             text = SPACE.sub(" ", _own_text(x)).strip()
-            if (len(text) > 80 and density(x) < 0.25) or (text and density(x) == 0 and re.search(r"\.( |$)", text)):
-                kept.append(x)
-        elif x.tag in ("h1", "h2") and top.tag not in ("article", "main"):
-            kept.append(x)
-    return kept
+            use = (len(text) > 80 and density(x) < LINKS) or bool(text and density(x) == 0 and re.search(r"\.( |$)", text))
+        kept.append(use or (x.tag in ("h1", "h2") and not alone))
+    if not alone:
+        # What lies between kept siblings belongs to them, as do headings right before one.
+        first, last = kept.index(True), len(kept) - 1 - kept[::-1].index(True)
+        for k in range(first + 1, last):
+            kept[k] = kept[k] or density(group[k]) < LINKS
+        while first and group[first - 1].tag in HEADINGS:
+            first -= 1
+            kept[first] = True
+    return [x for x, use in zip(group, kept, strict=True) if use]
 
 
 def main_text(html: str | None) -> str:
