@@ -5,7 +5,10 @@ start in a pre-token, for those starts that the walk visits. A backtracking walk
 and falls back to the next shorter prefix token (or to the previous token)
 whenever two neighbours are not *compatible*, i.e. merging by rank would not
 leave exactly this pair. The walk visits every end position at most once, so it
-is linear in the pre-token, and its result equals merging by rank.
+is linear in the pre-token, and its result equals merging by rank. Texts are
+split into pre-tokens here as the files say; where a text holds a character that
+is newer than Python's Unicode tables, the library that reads the same file
+normalizes and splits it, so that both know the same letters and digits.
 
 Decoder: all token strings lie in one byte blob; ids gather their spans by an
 offset table.
@@ -29,6 +32,22 @@ ODD = regex.compile("[\x1c-\x1f]")
 WIDE_SPACE = regex.compile("[\x0b\x0c\r\x85\xa0  -     　]")
 WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+")
 BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACE + r"\p{L}\p{N}]+|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + "]+")
+
+
+def _unassigned() -> regex.Pattern:
+    """Matches a character that Python's Unicode tables do not know: only there may the library's tables differ."""
+    spans, start = [], None
+    for cp in range(0x110001):
+        open_ = cp < 0x110000 and unicodedata.category(chr(cp)) == "Cn"
+        if open_ and start is None:
+            start = cp
+        elif not open_ and start is not None:
+            spans.append(f"{regex.escape(chr(start))}-{regex.escape(chr(cp - 1))}")
+            start = None
+    return regex.compile(f"[{''.join(spans)}]")
+
+
+UNASSIGNED = _unassigned()
 #: Entries of one worker's cache of encoded chunks; a full cache starts anew.
 CACHE = 600_000
 #: Entries of one worker's cache of encoded pre-tokens.
@@ -53,6 +72,7 @@ class Vocabulary:
         model = spec["model"]
         if model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback"):
             raise ValueError(f"{path} is no plain BPE file")
+        self.path, self.library = path, None
         self.suffix = model.get("end_of_word_suffix") or ""
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.marks = {x[0] for x in self.special}
@@ -222,10 +242,14 @@ class Vocabulary:
     def encode_bytes(self, text: str) -> bytes:
         """Ids of ``text`` as ``kind``, through a bounded cache of pre-tokens."""
         words, out = self.words, []
+        odd = not text.isascii() and UNASSIGNED.search(text)
         for part in self.pieces(text) if any(c in text for c in self.marks) else (text,):
             if isinstance(part, int):
                 out.append(array(self.code, (part,)).tobytes())
                 continue
+            if odd:
+                out += [self.encode_letters(x) for x in self.library_letters(part)]
+                continue
             for word in self.pre_tokens(part):
                 if (ids := words.get(word)) is None:
                     if len(words) >= WORD_CACHE:
@@ -234,12 +258,24 @@ class Vocabulary:
                 out.append(ids)
         return out[0] if len(out) == 1 else b"".join(out)
 
+    def library_letters(self, text: str) -> list[str]:
+        """Pre-tokens as byte letters, as the library normalizes and splits ``text``."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        if self.library.normalizer:
+            text = self.library.normalizer.normalize_str(text)
+        return [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
     def encode_word(self, word: str) -> bytes:
-        letters, id_of_rank = self.letters, self.id_of_rank
         if word.isascii() and word.isalpha():
-            form = word
-        else:
-            form = "".join([letters[b] for b in word.encode("utf-8", "surrogatepass")])
+            return self.encode_letters(word)
+        letters = self.letters
+        return self.encode_letters("".join([letters[b] for b in word.encode("utf-8", "surrogatepass")]))
+
+    def encode_letters(self, form: str) -> bytes:
+        id_of_rank = self.id_of_rank
         if self.suffix:
             form = form[:-1] + self.closed[form[-1]]
         return array(self.code, [id_of_rank[k] for k in self.encode_form(form)]).tobytes()

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; bounds a Python worker's memory with long texts.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch; the bytes bound a Python worker's memory with long texts.
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 #: Characters that count as white space where a contract says [\x20\x09-\x0D].
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -16,12 +17,15 @@ BLANK = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary
-    folder is made.
+    Where that setting is absent, a temporary folder is made on a local master;
+    on any other master that is an error, as executors would not see it.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("probatio"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp("probatio"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -31,8 +35,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """The same bounds for every operator, so that plans that run later find them too."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def let(value: Column, body) -> Column:

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded_batches
 
 LETTER = regex.compile(r"\p{L}")
 EDGE = regex.compile(r"^[^\p{L}]+|[^\p{L}]+$")
@@ -215,7 +215,7 @@ def fit(docs: DataFrame, max_docs: int = 250, max_chars: int = 20_000, id_col: s
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, shares) of every document. Narrow: no shuffle."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     shipped = spark.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(partial(_predict, shipped=shipped), f"id {kind}, lang_pred string, score double, shares map<string,double>")

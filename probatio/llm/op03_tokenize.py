@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import small_batches
+from .common import bounded_batches
 
 
 def _encode(batches, path: str, keep_ids: bool):
@@ -44,7 +44,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     ``path`` is a tokenizer file that every executor can read. Narrow: no shuffle.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     extra = ", ids array<int>, decoded string" if keep_ids else ""
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}"
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(partial(_encode, path=path, keep_ids=keep_ids), schema)

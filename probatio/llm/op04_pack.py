@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rapid
-from .common import checkpointed, small_batches
+from .common import bounded_batches, checkpointed
 
 TIERS = (4096, 2048, 1024, 512, 256)
 END_ID = 2
@@ -111,7 +111,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """
     if list(tiers) != sorted({*tiers}, reverse=True) or any(t & (t - 1) for t in tiers):
         raise ValueError("tiers must be descending powers of two")
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     windows = [f"w{t}" for t in tiers]
     cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded_batches
 
 MARK = "▁"
 #: Entries of one worker's cache of terminal counts.
@@ -105,7 +105,7 @@ def _counts(batches, path: str):
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_tokens) of each document. Narrow: no shuffle."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(partial(_counts, path=path), f"id {kind}, n_words long, n_tokens long")
     return out.withColumnRenamed("id", id_col)

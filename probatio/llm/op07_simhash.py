@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches
+from .common import bounded_batches, checkpointed
 from .components import components
 
 SEED = 42
@@ -83,7 +83,7 @@ def _fingerprints(batches, width: int):
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the fingerprint's 64 bits as a long. Narrow."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(partial(_fingerprints, width=width), f"id {kind}, fp long")
 
@@ -208,7 +208,7 @@ def _search(batches):
 
 def links(prints: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints ``prints`` (fp) within ``DISTANCE``."""
-    small_batches(prints.sparkSession, 8192)
+    bounded_batches(prints.sparkSession)
     cells = prints.mapInArrow(_cells, "cell long, fp long")
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cells.join(sizes, "cell").withColumn("blocks", F.ceil(F.col("n") / cell_rows).cast("long"))

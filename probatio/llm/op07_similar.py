@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches
+from .common import bounded_batches, checkpointed
 from .components import components
 from .op07_simhash import embed, manhattan, shingle_hashes
 
@@ -208,7 +208,7 @@ def _search(batches):
 
 def candidates(nodes: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Distinct pairs (a, b) of ``nodes`` (node, sketch) that look alike, spanning each group."""
-    small_batches(nodes.sparkSession, 8192)
+    bounded_batches(nodes.sparkSession)
     cells = nodes.select("node", "sketch").mapInArrow(_cells, "cell long, node long")
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cells.join(sizes, "cell").withColumn("blocks", F.ceil(F.col("n") / cell_rows).cast("long"))
@@ -269,7 +269,7 @@ def strays(nodes: DataFrame, rooted: DataFrame, similarity: float) -> DataFrame:
     open_cells = cells.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
     met = cells.select("cell", "node").join(open_cells.hint("shuffle_hash"), "cell").join(named.select("node", "root", "size", "parity"), "node").select("cell", "node", "root", "size", "parity")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small_batches(nodes.sparkSession, 8192)
+    bounded_batches(nodes.sparkSession)
     return met.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(partial(_meet, similarity=similarity), "a long, b long").distinct()
 
 
@@ -289,7 +289,7 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, s
     wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
     wanted = wanted.select(row_key("least", F.col("node")).alias("row"))
     own = texts.withColumn("row", row_key("id", F.col("node"))).join(wanted.hint("shuffle_hash"), "row", "left_semi").dropDuplicates(["row"]).select("node", "text")
-    small_batches(pairs.sparkSession, 64)
+    bounded_batches(pairs.sparkSession)
     sets = checkpointed(own.mapInArrow(partial(_sets, width=width), "node long, shingles array<long>"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -303,7 +303,7 @@ def text_node(text_col: str = "text") -> Column:
 
 def _classes(docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str, cell_rows: int) -> tuple[DataFrame, DataFrame]:
     """(id, node) of each row, and (node, least, component, leads) of each distinct text."""
-    small_batches(docs.sparkSession, 256)
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col).alias("id"), text_node(text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shipped = docs.sparkSession.sparkContext.broadcast(frequent_shingles(keyed, width))

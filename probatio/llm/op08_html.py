@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded_batches
 from .html_tree import main_text
 
 
@@ -23,7 +23,7 @@ def _extract(batches):
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of each page. Narrow: no shuffle."""
-    small_batches(pages.sparkSession, 256)
+    bounded_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     out = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_extract, f"id {kind}, url string, text string, n_chars long")
     return out.withColumnsRenamed({"id": id_col, "url": url_col})

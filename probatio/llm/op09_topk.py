@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches
+from .common import bounded_batches, checkpointed
 
 SCALE = 1024
 RESOLUTIONS = (16, 8, 4)
@@ -140,7 +140,7 @@ def _search(batches, shipped, k: int, step: int):
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10, block_queries: int = 65_536, step: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each row whose id ``every`` divides."""
     spark = vectors.sparkSession
-    small_batches(spark, 2048)
+    bounded_batches(spark)
     known = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     queries = known.where(F.col("id") % every == 0)
     blocks = max(1, -(-queries.count() // block_queries))

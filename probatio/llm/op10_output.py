@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pfor, rapid
-from .common import shared_dir, small_batches
+from .common import bounded_batches, shared_dir
 
 END_ID = 2
 
@@ -68,7 +68,7 @@ def _read(batches, folder: str, kind: str):
 def write_ids(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID):
     """Write the files to ``folder``; (part, documents, tokens) of each file, in order."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     fs, at = pafs.FileSystem.from_uri(folder)
     fs.create_dir(at, recursive=True)
     ordered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -44,3 +45,26 @@ def test_tokenize_whole_table(spark):
         assert len(r["ids"]) == r["n_tokens"] and np.array(r["ids"]).dtype.kind in "if"
     empty = spark.createDataFrame([], "id int, text string")
     assert tokenize(empty, path, id_col="id").count() == 0
+
+
+def _every_code_point():
+    """Texts that hold each code point between letters; known and unknown ones apart.
+
+    Planes without any assigned letter (4 to 13, private use) are one text each.
+    """
+    groups: dict = {}
+    for cp in (*range(0xD800), *range(0xE000, 0x40000), *range(0x40000, 0xE0000, 0x400), *range(0xE0000, 0xE0400), *range(0xF0000, 0x110000, 0x400)):
+        groups.setdefault((cp >> 8, unicodedata.category(chr(cp)) == "Cn"), []).append(chr(cp))
+    return [" ".join(f"a{c}b" for c in own) for own in groups.values()]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_code_point_equals_the_library(name):
+    path = public_tokenizers.path(name)
+    library, own, rapid = Tokenizer.from_file(path), Cached(Vocabulary(path)), Rapid(path)
+    texts = _every_code_point()
+    for at in range(0, len(texts), 1000):
+        part = texts[at : at + 1000]
+        for text, want, got in zip(part, library.encode_batch(part, add_special_tokens=False), own.encode_batch(part), strict=True):
+            assert got.tolist() == want.ids, repr(text)
+            assert rapid.encode(text).tolist() == want.ids, repr(text)
