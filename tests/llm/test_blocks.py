@@ -49,33 +49,78 @@ def test_output_in_id_order(spark):
     assert token_output(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
 
 
+def _lengths(draw):
+    return [*draw.integers(1, 900, 3000).tolist(), *draw.integers(900, 9000, 300).tolist(), 1, 1, 4095, 4096, 8192, 20_000]
+
+
+def test_windows_of_the_pool():
+    """Every id once, in full windows; most documents whole, gaps filled from shorter tiers."""
+    from probatio.llm.op04_pack import TIERS, Pool, route
+
+    draw = np.random.default_rng(5)
+    pool, sizes = Pool(TIERS), {}
+    for k, n in enumerate(_lengths(draw)):
+        sizes[k] = n % 4096
+        if n % 4096:
+            pool.add(k, 0, np.full(n % 4096, k, np.uint32))
+    for low, high in pool.bounds:
+        assert {route(n) for n in range(low, high + 1)} == {pool.bounds.index((low, high))}
+    seen, windows = [], [*pool.windows(20_000), *pool.windows(0), *pool.rest()]
+    mixed = 0
+    for k, pieces in windows:
+        assert sum(len(ids) for *_, ids in pieces) == TIERS[k]
+        mixed += len({route(len(ids)) for *_, ids in pieces}) > 1
+        seen += pieces
+    left = pool.leftover()
+    assert sum(len(ids) for *_, ids in left) < TIERS[-1] and pool.total == 0
+    spans: dict = {}
+    for doc, start, ids in seen + left:
+        spans.setdefault(doc, []).append((start, len(ids)))
+    for doc, own in spans.items():
+        at = 0
+        for start, n in sorted(own):
+            assert start == at
+            at += n
+        assert at == sizes[doc]
+    assert len(spans) == sum(n > 0 for n in sizes.values())
+    assert len(seen) + len(left) < 1.15 * len(spans) and mixed > 0.3 * len(windows)
+
+
 def test_packing(spark):
-    from probatio.llm.op04_pack import pack, tier_pieces
+    from probatio.llm.op04_pack import pack
 
-    assert tier_pieces(4096 + 600) == [(0, 4096), (4096, 512)]
+    draw = np.random.default_rng(2)
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    texts = [None, "", "a b c", "word " * 9000, "x y " * 700] + [f"text number {k} " * (k % 40) for k in range(200)]
-    rows = pack(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3), path).collect()
-    for k, text in enumerate(texts):
-        ids = library.encode(text or "", add_special_tokens=False).ids + [2]
-        at = 0
-        for r in sorted((r for r in rows if r["doc_id"] == k), key=lambda r: r["start"]):
-            assert r["start"] == at and r["doc_tokens"] == len(ids)
-            assert r["ids_crc32"] == zlib.crc32(np.array(ids[at : at + r["length"]], "<u4").tobytes())
-            at += r["length"]
-        assert at == len(ids)
-    windows: dict = {}
-    for r in rows:
-        windows.setdefault(r["sequence_id"], []).append(r)
-    assert sorted(windows) == list(range(len(windows)))
-    open_ones = 0
-    for own in windows.values():
-        at = 0
-        for r in sorted(own, key=lambda r: r["offset"]):
-            assert r["offset"] == at
-            at += r["length"]
-        open_ones += bool(at & (at - 1))
-        assert at <= 4096
-    assert open_ones <= 1
+    texts = ["cat dog " * (n // 2) + "Ünïted !" * (n % 3) for n in (0, 1, 200, 255, 256, 5000, 12000, 300, 700, 3, 4095, 100)] + ["the quick brown fox " * int(n) for n in draw.integers(1, 400, 300)]
+    texts += [texts[5], None, "", "new \ua7cb letter"]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, part string").repartition(3)
+    for pool in (1 << 21, 3000):
+        rows = pack(docs, path, pool=pool).collect()
+        by_doc: dict = {}
+        windows: dict = {}
+        for r in rows:
+            by_doc.setdefault(r["doc_id"], []).append(r)
+            windows.setdefault(r["sequence_id"], []).append(r)
+        for k, t in enumerate(texts):
+            ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+            at = 0
+            for r in sorted(by_doc[k], key=lambda r: r["start"]):
+                assert r["start"] == at and r["doc_tokens"] == len(ids)
+                assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+                at += r["length"]
+            assert at == len(ids)
+        assert sorted(windows) == list(range(len(windows)))
+        padded = 0
+        for own in windows.values():
+            at = 0
+            for r in sorted(own, key=lambda r: r["offset"]):
+                assert r["offset"] == at and r["tier"] == own[0]["tier"] and r["step_group"] == own[0]["step_group"]
+                at += r["length"]
+            assert at <= own[0]["tier"]
+            padded += at < own[0]["tier"]
+        assert padded <= 1
+        if pool > 3000:
+            whole = sum(-(-int(own[0]["doc_tokens"]) // 4096) for own in by_doc.values())
+            assert len(rows) < 1.25 * whole
     assert pack(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
