@@ -7,11 +7,13 @@ id that holds them.
 
 Key hashes (128 bits) are range-partitioned by (hash, document) and sorted by
 document and position, so a hash that a third of all rows hold spans as many
-ranges as it needs; each range streams out one row for each (hash, document)
-with its positions. Counting and the surviving document are partial sums over
-those rows. What comes back for a document is its keep bitmap, run-length
-compressed: the (start, length) runs of lines that stay. Texts are read again
-only to apply it.
+ranges as it needs. A window over the sorted ranges streams out the first line of
+each (hash, document) without another shuffle; those first occurrences are
+counted in ``SALTS`` parts of each hash, dealt by document, and the parts are
+summed. Lines meet the verdict of their part, never of the whole hash, so no task
+takes all lines of a hot one. What comes back for a document is its keep bitmap,
+run-length compressed: the (start, length) runs of lines that stay. Texts are
+read again only to apply it.
 
 Null and empty texts are one empty line. Rows that share an id are one document
 for counting; each row keeps its own bitmap, and equal rows have equal ones. A
@@ -20,11 +22,13 @@ null id counts as the smallest document. Columns besides id and text play no par
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BLANK, checkpointed, let
 
+#: Parts of a hash that are counted and joined apart, dealt by document.
+SALTS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,14 +75,20 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col
     )
     lines = checkpointed(lines)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = (
-        lines.repartitionByRange(n, "h1", "h2", "doc")
+    order = Window.partitionBy("h1", "h2", "doc").orderBy("pos")
+    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")
+    first = (
+        lines.select("h1", "h2", "doc", "pos")
+        .repartitionByRange(n, "h1", "h2", "doc")
         .sortWithinPartitions("h1", "h2", "doc", "pos")
-        .groupBy("h1", "h2", "doc")
-        .agg(F.collect_set(F.struct("text_hash", "pos")).alias("places"))
+        .withColumn("nth", F.row_number().over(order))
+        .where("nth = 1")
     )
-    many = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("keeper")).where(F.col("n_docs") >= min_docs).drop("n_docs")
-    lost = held.join(many, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("keeper"))).select("doc", F.inline("places"))
+    parts = first.groupBy("h1", "h2", salt.alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("last"))
+    # At most SALTS rows of a hash meet here.
+    whole = Window.partitionBy("h1", "h2")
+    told = parts.withColumn("n_docs", F.sum("n").over(whole)).withColumn("keeper", F.max("last").over(whole)).where(F.col("n_docs") >= min_docs).select("h1", "h2", "salt", "keeper")
+    lost = lines.withColumn("salt", salt).join(told, ["h1", "h2", "salt"]).where(~F.col("doc").eqNullSafe(F.col("keeper"))).select("doc", "text_hash", "pos")
     return lost.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("dropped")).withColumnRenamed("doc", id_col)
 
 

@@ -187,12 +187,43 @@ def test_top_k(spark):
         best = sorted((-int(pad[a] @ pad[b]), b) for b in pad if b != a)[:10]
         want += [(a, r + 1, b, -s) for r, (s, b) in enumerate(best)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    for block in (65536, 2):
-        got = top_k(df, block_queries=block, step=2).collect()
+    for block in (1 << 26, 200):
+        got = top_k(df, block_bytes=block, step=2).collect()
         assert sorted(tuple(r) for r in got) == sorted(want)
+    # Rows that repeat a query id: the invalid one is never the query.
+    twice = [(0, None, 1), (0, [1.0], 1), (0, [0.5], 2), (1, [2.0], 3), (1, [2.0], 3), (2, [], 4), (None, [9.0], 5), (3, [1e300], 6)]
+    got = top_k(spark.createDataFrame(twice, "vec_id long, embedding array<double>, score int"), k=3).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1, 3, (1 << 63) - 1), (0, 2, 1, 1024 * 2048), (0, 3, 1, 1024 * 2048)]
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_few_pairs_survive_the_bounds():
+    """On the table's vectors, and with the same results as all scores."""
+    import pyarrow.parquet as pq
+
+    from probatio.llm import op09_topk as m
+
+    read = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    ids = np.asarray(read.column("vec_id"))
+    use, rows = m.quantized(read.column("embedding").combine_chunks())
+    ids = ids[use]
+    asked = ids % 20 == 0
+    turn = m.transform(rows)
+    assert np.allclose(turn @ turn.T, np.eye(len(turn)))
+    start = m.first_scores(ids[asked], rows[asked], ids, rows, 10, 512)
+    queries, best = m.Queries(ids[asked], rows[asked], turn), m.Best(start, 10)
+    computed = 0
+    for at in range(0, len(ids), 250):
+        part = rows[at : at + 250]
+        computed += m.scan(best, queries, ids[at : at + 250], part, m.statistics(part @ turn), np.linalg.norm(part, axis=1))
+    # Vectors of almost equal energy in all 64 directions: the two-component resolution decides.
+    assert computed < 0.4 * asked.sum() * len(ids)
+    scores = (rows[asked] @ rows.T).astype(np.int64)
+    for q, own in enumerate(ids[asked]):
+        order = [k for k in np.lexsort((ids, -scores[q])) if ids[k] != own][:10]
+        assert best.ids[q].tolist() == ids[order].tolist() and best.scores[q].tolist() == scores[q][order].tolist()
+
+
 def test_html(spark):
     from probatio.llm.html_tree import main_text
     from probatio.llm.op08_html import extract
