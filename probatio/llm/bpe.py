@@ -34,20 +34,18 @@ WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SP
 BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACE + r"\p{L}\p{N}]+|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + "]+")
 
 
-def _unassigned() -> regex.Pattern:
-    """Matches a character that Python's Unicode tables do not know: only there may the library's tables differ."""
-    spans, start = [], None
-    for cp in range(0x110001):
-        open_ = cp < 0x110000 and unicodedata.category(chr(cp)) == "Cn"
-        if open_ and start is None:
-            start = cp
-        elif not open_ and start is not None:
-            spans.append(f"{regex.escape(chr(start))}-{regex.escape(chr(cp - 1))}")
-            start = None
-    return regex.compile(f"[{''.join(spans)}]")
-
-
-UNASSIGNED = _unassigned()
+_assigned: set[str] = set()
+
+
+def unassigned(text: str) -> bool:
+    """Whether ``text`` has a character that Python's Unicode tables do not know: only there may the library's differ."""
+    new = set(text) - _assigned
+    if any(unicodedata.category(c) == "Cn" for c in new):
+        return True
+    _assigned.update(new)
+    return False
+
+
 #: Entries of one worker's cache of encoded chunks; a full cache starts anew.
 CACHE = 600_000
 #: Entries of one worker's cache of encoded pre-tokens.
@@ -242,7 +240,7 @@ class Vocabulary:
     def encode_bytes(self, text: str) -> bytes:
         """Ids of ``text`` as ``kind``, through a bounded cache of pre-tokens."""
         words, out = self.words, []
-        odd = not text.isascii() and UNASSIGNED.search(text)
+        odd = not text.isascii() and unassigned(text)
         for part in self.pieces(text) if any(c in text for c in self.marks) else (text,):
             if isinstance(part, int):
                 out.append(array(self.code, (part,)).tobytes())

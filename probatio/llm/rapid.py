@@ -16,7 +16,7 @@ import numpy as np
 import regex
 import tiktoken
 
-from .bpe import SPACE, UNASSIGNED, Vocabulary, byte_letters
+from .bpe import SPACE, Vocabulary, byte_letters, unassigned
 
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -73,7 +73,7 @@ class Rapid:
 
     def encode(self, text: str) -> np.ndarray:
         v = self.vocabulary
-        if not text.isascii() and UNASSIGNED.search(text):
+        if not text.isascii() and unassigned(text):
             # Characters newer than Python's tables: see ``bpe``.
             return np.frombuffer(v.encode_bytes(text), v.kind)
         if not any(c in text for c in v.marks):
