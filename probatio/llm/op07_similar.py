@@ -19,9 +19,12 @@ exactly on the two whole shingle sets, and verified links become components.
 Fingerprints miss some pairs, so an exact search follows between components. Two
 sets of similarity s share one of the first n - ceil(s n) + 1 of their n shingles
 in any order that all sets have in common; the order puts frequent shingles last.
-What shares such a shingle is compared by size and by the parity of its shingles
-in ``PARITY`` places, whose bits differ at most as often as the sets do: both
-bounds lose no pair. Links found so are verified and join components.
+These shingles are dealt into buckets, packed, sixteen bytes each; a bucket gives
+back only those that several texts share, and of these only what unlike
+components share is searched, hot shingles in pairs of blocks. Pairs are compared
+by size and by the parity of their shingles in ``PARITY`` places, whose bits
+differ at most as often as the sets do: both bounds lose no pair. Links found so
+are verified and join components.
 
 Texts are collapsed by hash first, so copies cost one row each. Null texts count
 as empty, and texts without words all have the empty shingle; a text of fewer
@@ -53,6 +56,8 @@ CELL_ROWS = 4096
 STEP = 4096
 #: Bits that hold the parity of a set's shingles.
 PARITY = 512
+#: Buckets of prefix shingles for each shuffle partition; entries that a task packs at a time; texts that it knows it has dealt.
+BUCKETS, HELD, SEEN = 16, 1 << 20, 1 << 20
 #: Texts that tell frequent shingles, how many of them hold one, and how many shingles count.
 SAMPLE, FREQUENT, MOST_FREQUENT = 4000, 4, 1 << 17
 _draw = np.random.default_rng(20_240_607)
@@ -110,14 +115,11 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((_mix(hashes) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1)
 
 
-def _sketch(batches, width: int, similarity: float, shipped):
-    names = ["id", "node", "sketch", "size", "parity", "first"]
+def _sketch(batches, width: int):
+    names = ["id", "node", "sketch", "size", "parity"]
     for batch in batches:
         sets = [shingle_set(t, width) for t in batch.column(2).to_pylist()]
-        more = [
-            pa.array([parts_of(x).tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity(x).tobytes() for x in sets], pa.binary()),
-            pa.array([prefix(x, shipped.value, similarity).view(np.int64) for x in sets], pa.list_(pa.int64())),
-        ]
+        more = [pa.array([parts_of(x).tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity(x).tobytes() for x in sets], pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], names=names)
 
 
@@ -221,14 +223,76 @@ def candidates(nodes: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     return dealt.repartition(n, "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_search, "a long, b long").distinct()
 
 
-def meet(cell: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, bits: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one cell (rows are sorted by it) and of unlike roots that no bound rules out."""
+def _deal(batches, width: int, similarity: float, shipped, buckets: int):
+    """(bucket, entries): prefix shingles and their texts, packed; each text once for a task at least.
+
+    Frequent shingles are dealt by text as well, so that no bucket is a hot one.
+    """
+    frequent, seen, held, size = shipped.value, set(), [], 0
+
+    def flush():
+        both = np.concatenate(held)
+        cell, node = both[:, 0], both[:, 1]
+        common = np.isin(cell, frequent) if len(frequent) else np.zeros(len(cell), bool)
+        bucket = (_mix(np.where(common, cell ^ _mix(node), cell)) >> np.uint64(16)) % np.uint64(buckets)
+        # Buckets of frequent shingles are apart: there all entries pass.
+        bucket = bucket.astype(np.int64) + buckets * common
+        order = np.argsort(bucket, kind="stable")
+        names, starts = np.unique(bucket[order], return_index=True)
+        parts = np.split(both[order], starts[1:])
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array([p.tobytes() for p in parts], pa.binary())], names=["bucket", "entries"])
+
+    for batch in batches:
+        for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if node in seen:
+                continue
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(node)
+            cells = prefix(shingle_set(text, width), frequent, similarity)
+            held.append(np.stack([cells, np.full(len(cells), node, np.int64).view(np.uint64)], axis=1))
+            size += len(cells)
+            if size >= HELD:
+                yield flush()
+                held, size = [], 0
+    if held:
+        yield flush()
+
+
+def _shared(batches, buckets: int):
+    """Rows (bucket, entries) sorted by bucket: the (cell, node) whose cell several texts have."""
+
+    def given(bucket, parts):
+        both = np.unique(np.concatenate([np.frombuffer(p, np.uint64).reshape(-1, 2) for p in parts]), axis=0)
+        if bucket < buckets:
+            cell = both[:, 0]
+            same = cell[1:] == cell[:-1]
+            both = both[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        both = both.view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["cell", "node"])
+
+    now, waiting = None, []
+    for batch in batches:
+        for bucket, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if bucket != now and waiting:
+                yield given(now, waiting)
+                waiting = []
+            now = bucket
+            waiting.append(entries)
+    if waiting:
+        yield given(now, waiting)
+
+
+def meet(group: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, bits: np.ndarray, similarity: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group (rows are sorted by it), of unlike roots and sides, that no bound rules out."""
     left, right = [], []
-    at, lag = np.arange(len(cell) - 1), 1
-    while len(at := at[at + lag < len(cell)]) and len(at := at[cell[at] == cell[at + lag]]):
+    at, lag = np.arange(len(group) - 1), 1
+    while len(at := at[at + lag < len(group)]) and len(at := at[group[at] == group[at + lag]]):
         a, b = at, at + lag
         small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         use = (root[a] != root[b]) & (small >= similarity * large - 1e-6)
+        if side is not None:
+            use &= side[a] != side[b]
         a, b = a[use], b[use]
         apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
         use = apart <= (1 - similarity) / (1 + similarity) * (size[a] + size[b]) + 1e-6
@@ -240,37 +304,46 @@ def meet(cell: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray,
 
 
 def _meet(batches, similarity: float):
-    def pairs(rows):
-        found = np.unique(np.stack(meet(*rows, similarity), axis=1), axis=0)
+    """Rows (cell, i, j, block, node, root, size, parity) sorted by (cell, i, j): the pairs of each that may be similar."""
+
+    def pairs(rows, bits):
+        group = np.concatenate([[0], np.cumsum((rows[1:, :3] != rows[:-1, :3]).any(axis=1))])
+        # Rows of one block meet each other; those of a pair of blocks meet the other side.
+        side = np.where(rows[:, 1] == rows[:, 2], np.arange(len(rows)), rows[:, 3])
+        found = np.unique(np.stack(meet(group, rows[:, 4], rows[:, 5], rows[:, 6], bits, similarity, side), axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    waiting: list = []
+    rows, bits = np.zeros((0, 7), np.int64), np.zeros((0, PARITY // 64), np.uint64)
     for batch in batches:
         if not batch.num_rows:
             continue
-        own = [np.asarray(c) for c in batch.columns[:4]] + [np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, PARITY // 64)]
-        if waiting and waiting[-1][0][-1] == own[0][0] == own[0][-1]:
-            waiting.append(own)
-            continue
-        rows = [np.concatenate(x) for x in zip(*waiting, own, strict=True)]
-        edge = int(np.searchsorted(rows[0], rows[0][-1]))
-        waiting = [[x[edge:] for x in rows]]
-        yield pairs([x[:edge] for x in rows])
-    if waiting:
-        yield pairs([np.concatenate(x) for x in zip(*waiting, strict=True)])
-
-
-def strays(nodes: DataFrame, rooted: DataFrame, similarity: float) -> DataFrame:
+        rows = np.concatenate([rows, np.stack([np.asarray(c).astype(np.int64) for c in batch.columns[:7]], axis=1)])
+        bits = np.concatenate([bits, np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, PARITY // 64)])
+        edge = np.flatnonzero((rows[:-1, :3] != rows[-1, :3]).any(axis=1))
+        if len(edge):
+            cut = int(edge[-1]) + 1
+            yield pairs(rows[:cut], bits[:cut])
+            rows, bits = rows[cut:], bits[cut:]
+    if len(rows):
+        yield pairs(rows, bits)
+
+
+def strays(keyed: DataFrame, nodes: DataFrame, rooted: DataFrame, shipped, width: int, similarity: float, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Distinct pairs (a, b) of ``nodes`` in unlike components that may be similar: none is missing."""
-    named = nodes.join(rooted.select(F.col("node").alias("member"), "root"), F.col("node") == F.col("member"), "left").select("node", F.coalesce("root", "node").alias("root"), "size", "parity", "first")
-    named = checkpointed(named)
-    cells = named.select(F.explode("first").alias("cell"), "node", "root")
-    # Minima are partial sums, so a shingle that one large component shares is dropped on the way.
-    open_cells = cells.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
-    met = cells.select("cell", "node").join(open_cells.hint("shuffle_hash"), "cell").join(named.select("node", "root", "size", "parity"), "node").select("cell", "node", "root", "size", "parity")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounded_batches(nodes.sparkSession)
-    return met.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(partial(_meet, similarity=similarity), "a long, b long").distinct()
+    buckets = BUCKETS * n
+    dealt = keyed.select("node", "text").mapInArrow(partial(_deal, width=width, similarity=similarity, shipped=shipped, buckets=buckets), "bucket long, entries binary")
+    shared = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(partial(_shared, buckets=buckets), "cell long, node long")
+    named = rooted.select(F.col("node").alias("member"), "root")
+    cells = checkpointed(shared.join(named, F.col("node") == F.col("member"), "left").select("cell", "node", F.coalesce("root", "node").alias("root")))
+    # Counts and extremes are partial sums, so a shingle that one large component shares is dropped on the way.
+    open_cells = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell", F.ceil(F.col("n") / cell_rows).cast("long").alias("blocks"))
+    block = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks"))
+    met = cells.join(open_cells, "cell").withColumn("block", block)
+    met = met.select("cell", "block", "node", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    met = met.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root").join(nodes.select("node", "size", "parity"), "node")
+    met = met.select("cell", "i", "j", "block", "node", "root", "size", "parity")
+    return met.repartition(n, "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(partial(_meet, similarity=similarity), "a long, b long").distinct()
 
 
 def _sets(batches, width: int):
@@ -307,11 +380,11 @@ def _classes(docs: DataFrame, width: int, similarity: float, id_col: str, text_c
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col).alias("id"), text_node(text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shipped = docs.sparkSession.sparkContext.broadcast(frequent_shingles(keyed, width))
-    own = checkpointed(keyed.mapInArrow(partial(_sketch, width=width, similarity=similarity, shipped=shipped), f"id {kind}, node long, sketch binary, size long, parity binary, first array<long>"))
-    nodes = checkpointed(own.groupBy("node").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("sketch", "size", "parity", "first")]))
+    own = checkpointed(keyed.mapInArrow(partial(_sketch, width=width), f"id {kind}, node long, sketch binary, size long, parity binary"))
+    nodes = checkpointed(own.groupBy("node").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("sketch", "size", "parity")]))
     pairs = checkpointed(candidates(nodes, cell_rows))
     rooted = components(verified(pairs, keyed, nodes, width, similarity))
-    more = checkpointed(verified(checkpointed(strays(nodes, rooted, similarity)), keyed, nodes, width, similarity))
+    more = checkpointed(verified(checkpointed(strays(keyed, nodes, rooted, shipped, width, similarity, cell_rows)), keyed, nodes, width, similarity))
     if not more.isEmpty():
         # A link between texts is one between their components.
         rooted = components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))

@@ -94,3 +94,4 @@ def test_no_bound_rules_out_a_similar_pair():
             assert len(np.intersect1d(m.prefix(a, frequent, 0.8), m.prefix(b, frequent, 0.8)))
             rows = [np.array([7, 7]), np.array([2, 1]), np.array([1, 2]), np.array([len(a), len(b)]), np.stack([m.parity(a), m.parity(b)]).view(np.uint64)]
             assert [x.tolist() for x in m.meet(*rows, 0.8)] == [[1], [2]]
+            assert [len(x) for x in m.meet(*rows, 0.8, np.array([4, 4]))] == [0, 0]
