@@ -349,8 +349,9 @@ def batch_summary(spark, sf_dir):
 @query("running_accuracy", f"""{ABLATION}, k AS (SELECT sample_id, CASE WHEN kind IN ('tp', 'tn') THEN 1.0 ELSE 0.0 END AS correct FROM kinds WHERE config = 'S+P+St')
  SELECT sample_id, round(avg(correct) OVER (ORDER BY sample_id ROWS UNBOUNDED PRECEDING), 6) AS running FROM k""")
 def running_accuracy(spark, sf_dir):
-    own = cells(spark, sf_dir).where("config = 'S+P+St'").select("sample_id", corpus.is_correct(F.col("verdict"), F.col("should_reject")).alias("correct"), F.floor(F.col("sample_id") / 1000).alias("bucket"))
-    return corpus.progress(own, "sample_id", "bucket").select("sample_id", F.round("running", 6).alias("running"))
+    own = cells(spark, sf_dir).where("config = 'S+P+St'").select("sample_id", corpus.is_correct(F.col("verdict"), F.col("should_reject")).alias("correct"))
+    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"))
+    return corpus.progress(own, "sample_id", ids).select("sample_id", F.round("running", 6).alias("running"))
 
 
 @query("mutual_information", f"""{ABLATION}, k AS (SELECT verdict, should_reject FROM judged WHERE config = 'S+P+St'), j AS (SELECT verdict, should_reject, count(*) AS n FROM k GROUP BY ALL),
@@ -388,7 +389,7 @@ def tagged_union(spark, sf_dir):
     return corpus.tagged_union(parts).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("code")).alias("chars"))
 
 
-@query("problem_categories", f"SELECT category, count(*) AS n FROM (SELECT CASE {' '.join(f"WHEN {Q.any_of('lower(text)', w.split('|'))} THEN '{n}'" for n, w in R.CATEGORIES.items())} ELSE 'other' END AS category FROM documents) GROUP BY category")
+@query("problem_categories", f"SELECT category, count(*) AS n FROM (SELECT CASE {' '.join(f"WHEN {Q.any_of('lower(text)', w)} THEN '{n}'" for n, w in R.CATEGORIES.items())} ELSE 'other' END AS category FROM documents) GROUP BY category")
 def problem_categories(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(corpus.problem_category(F.col("text")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -416,13 +417,15 @@ def cache_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", history.cache_key(F.col("text"), None, Settings()).alias("key"))
 
 
-@query("cache_lookup", """WITH c AS (SELECT user_id, max(ts) AS created FROM events WHERE event_type = (SELECT min(event_type) FROM events) AND epoch(ts) % 2 < 1 GROUP BY user_id)
+@query("cache_lookup", """WITH c AS (SELECT user_id, max(ts) AS created FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY user_id)
  SELECT count(*) AS requests, count(*) FILTER (WHERE created IS NOT NULL) AS hits, count(*) FILTER (WHERE created IS NULL) AS misses, round(avg(CASE WHEN created IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM events e LEFT JOIN c ON e.user_id = c.user_id AND c.created > (SELECT min(ts) FROM events) + INTERVAL 1 HOUR""")
 def cache_lookup(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    low = events.agg(F.min("event_type").alias("t"), F.min("ts").alias("m")).first()
-    cache = events.where((F.col("event_type") == low["t"]) & (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 % 2 < 1)).select(F.col("user_id").alias("key"), F.col("ts").alias("created_at"), (F.col("ts")).alias("expires_at"), "value")
-    found = history.lookup(events.select(F.col("user_id").alias("key")), cache, F.lit(low["m"]) + F.expr("INTERVAL 1 HOUR"))
+    low = events.agg(F.min("event_type").alias("__t"), (F.min("ts") + F.expr("INTERVAL 1 HOUR")).alias("__now"))
+    # ``low`` has one row.
+    cache = events.crossJoin(F.broadcast(low)).where((F.col("event_type") == F.col("__t")) & (F.col("ts") > F.col("__now")))
+    cache = cache.select(F.col("user_id").alias("key"), F.col("ts").alias("created_at"), F.col("ts").alias("expires_at"), "value")
+    found = history.lookup(events.select(F.col("user_id").alias("key")), cache, F.lit("1900-01-01").cast("timestamp"))
     return history.cache_stats(found).select("requests", "hits", "misses", F.round("hit_rate", 6).alias("hit_rate"))
 
 

@@ -24,7 +24,6 @@ class Settings:
     max_line: int = 88
     word_boundary_crypto: bool = False
     mode: str = "intended"
-    max_code_chars: int | None = None
 
     def __post_init__(self):
         if self.mode not in ("intended", "compat"):

@@ -52,7 +52,7 @@ def problem_category(text: Column) -> Column:
     """First category one of whose words the text holds."""
     lower, out = F.lower(text), F.lit("other")
     for name, words in reversed(R.CATEGORIES.items()):
-        out = F.when(T.contains_any(lower, words.split("|")), name).otherwise(out)
+        out = F.when(T.contains_any(lower, words), name).otherwise(out)
     return out
 
 
@@ -181,15 +181,22 @@ def advantage(rates: DataFrame) -> DataFrame:
 def score_stats(df: DataFrame, *by: str, score: str = "score") -> DataFrame:
     """Mean, median, deviation, extremes and index quartiles of a score.
 
-    The index quartiles come from counts and ranks, not from collected lists.
+    Everything comes from counts by score, so a group meets with as many rows as
+    it has different scores (of three decimals: 1001 at most).
     """
-    keyed = df.withColumn("__by", F.struct(*by) if by else F.lit(1))
-    window = Window.partitionBy("__by").orderBy(score)
-    placed = keyed.withColumn("__at", F.row_number().over(window) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("__by")))
-    at = lambda k: F.max(F.when(F.col("__at") == F.floor(F.col("__n") * k / 4), F.col(score)))
-    return placed.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.expr(f"percentile({score}, 0.5)").alias("median"), F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("stdev"),
-        F.min(score).alias("least"), F.max(score).alias("most"), at(1).alias("q1"), at(3).alias("q3"),
+    keys = [F.col(c).alias(f"__by_{c}") for c in by]
+    names = [f"__by_{c}" for c in by]
+    counts = df.groupBy(*keys, F.col(score).alias("__score")).agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy(*names)
+    upto = whole.orderBy("__score").rowsBetween(Window.unboundedPreceding, 0)
+    valid = F.when(F.col("__score").isNotNull(), F.col("__n"))
+    placed = counts.withColumns({"__all": F.sum("__n").over(whole), "__upto": F.sum("__n").over(upto), "__mean": F.sum(F.col("__score") * F.col("__n")).over(whole) / F.sum(valid).over(whole)})
+    # The score at a place, counted from zero, is the least one that has more rows up to it.
+    at = lambda k: F.min(F.when(F.col("__upto") > F.floor(F.col("__all") * k / 4), F.col("__score")))
+    off = F.col("__score") - F.col("__mean")
+    return placed.groupBy(*[F.col(n).alias(c) for n, c in zip(names, by, strict=True)]).agg(
+        F.sum("__n").alias("n"), F.max("__mean").alias("mean"), F.expr("percentile(__score, 0.5, __n)").alias("median"), F.coalesce(F.sqrt(F.try_divide(F.sum(off * off * F.col("__n")), F.sum(valid) - 1)), F.lit(0.0)).alias("stdev"),
+        F.min("__score").alias("least"), F.max("__score").alias("most"), at(1).alias("q1"), at(3).alias("q3"),
     )
 
 
@@ -254,7 +261,8 @@ def type_severity(reports: DataFrame, top: int | None = None) -> DataFrame:
     return out if top is None else out.orderBy(F.col("n").desc(), "type").limit(top)
 
 
-STYLE_TYPES = "class_naming code_clarity code_formatting function_naming import_organization spacing variable_naming".split()
+#: Style types that calibration tones down.
+STYLE_TYPES = ("spacing", "code_formatting", "import_organization", "variable_naming", "function_naming", "class_naming", "code_clarity")
 
 
 def calibration(rates: dict, false_positives: list[dict], missed: list[str]) -> list[str]:
@@ -287,17 +295,12 @@ def batch_summary(reports: DataFrame, min_score: float = 0.85) -> DataFrame:
     )
 
 
-def progress(df: DataFrame, order: str = "seq", buckets: str | None = None) -> DataFrame:
-    """Running accuracy over ``order``: prefix counts within ``buckets``, then over them."""
-    if buckets is None:
-        return df.withColumn("running", F.avg(F.col("correct").cast("double")).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
-    inner = Window.partitionBy(buckets).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = df.groupBy(buckets).agg(F.sum(F.col("correct").cast("long")).alias("c"), F.count(F.lit(1)).alias("m"))
-    # One row for each bucket meets in one task; buckets are chosen so that they are few.
-    before = Window.orderBy(buckets).rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(buckets, F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("m0"))
-    own = df.withColumns({"c": F.sum(F.col("correct").cast("long")).over(inner), "m": F.count(F.lit(1)).over(inner)}).join(base, buckets)
-    return own.withColumn("running", (F.col("c0") + F.col("c")) / (F.col("m0") + F.col("m"))).drop("c", "m", "c0", "m0")
+def progress(df: DataFrame, order: str = "seq", bounds_of: DataFrame | None = None) -> DataFrame:
+    """Running accuracy over ``order``, by prefixes of its ranges (see ``prefix``)."""
+    from probatio.operators.prefix import running_sums
+
+    own = running_sums(df, [], [order], {"__right": F.col("correct").cast("long"), "__seen": F.lit(1)}, bounds_of=bounds_of)
+    return own.withColumn("running", F.col("__right") / F.col("__seen")).drop("__right", "__seen")
 
 
 def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probatio.config import Settings
+from probatio.operators.prefix import running_sums
 
 RATINGS = {"Very Dissatisfied": 1, "Dissatisfied": 2, "Neutral": 3, "Satisfied": 4, "Very Satisfied": 5}
 
@@ -47,6 +48,62 @@ def kept_within_quota(cache: DataFrame, size: str, quota: int, share: float = 0.
     return cache.join(keep, F.date_trunc("day", "created_at") == F.col("day"), "left_semi")
 
 
+def entries(reports: DataFrame, key: str, now: Column, ttl: str, payload: Column | None = None) -> DataFrame:
+    """Reports as cache entries: key, report as JSON, times and size in bytes."""
+    kept = F.to_json(F.struct(*[c for c in reports.columns if c != key])) if payload is None else payload
+    out = reports.select(F.col(key).alias("key"), kept.alias("report"), now.alias("created_at"), (now + F.expr(f"INTERVAL {ttl}")).alias("expires_at"), F.lit(0).cast("long").alias("hits"))
+    return out.withColumn("bytes", F.octet_length("report").cast("long"))
+
+
+def with_tier(cache: DataFrame, memory_bytes: int) -> DataFrame:
+    """``cache`` with ``tier``: memory for entries up to ``memory_bytes`` each, disk for larger ones."""
+    return cache.withColumn("tier", F.when(F.col("bytes") <= memory_bytes, "memory").otherwise("disk"))
+
+
+def store(cache: DataFrame, added: DataFrame) -> DataFrame:
+    """The cache after ``added`` is set: of entries of one key the newest counts."""
+    names = [c for c in cache.columns if c != "key"]
+    both = cache.select("key", *names).unionByName(added.select("key", *names))
+    return both.groupBy("key").agg(F.max_by(F.struct(*names), "created_at").alias("e")).select("key", *[F.col("e")[n].alias(n) for n in names])
+
+
+def touched(cache: DataFrame, requests: DataFrame) -> DataFrame:
+    """``cache`` with the hits of ``requests`` (key) added; requests are counted before they meet it."""
+    asked = requests.groupBy(F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("__asked"))
+    return cache.join(asked, F.col("key") == F.col("__key"), "left").withColumn("hits", F.col("hits") + F.coalesce("__asked", F.lit(0))).drop("__key", "__asked")
+
+
+def evicted(cache: DataFrame, most: int, now: Column) -> DataFrame:
+    """At most ``most`` fresh entries: those of fewest hits go first, of equal ones the oldest.
+
+    The bound is found on counts by (hits, second); only entries on it are ranked.
+    """
+    fresh = cache.where(F.col("expires_at") > now).withColumn("__place", F.struct(F.col("hits").alias("h"), F.date_trunc("second", "created_at").alias("t")))
+    counts = fresh.groupBy("__place").agg(F.count(F.lit(1)).alias("n"))
+    better = counts.withColumn("above", F.sum("n").over(Window.orderBy(F.col("__place").desc()).rowsBetween(Window.unboundedPreceding, -1)))
+    held = better.select(F.col("__place").alias("p"), (F.lit(most) - F.coalesce("above", F.lit(0))).alias("room")).where("room > 0")
+    rank = Window.partitionBy("__place").orderBy(F.col("created_at").desc(), "key")
+    return fresh.join(held, F.col("__place") == F.col("p")).withColumn("__rank", F.row_number().over(rank)).where(F.col("__rank") <= F.col("room")).drop("__place", "__rank", "p", "room")
+
+
+def deleted(cache: DataFrame, keys: DataFrame) -> DataFrame:
+    """``cache`` without the given keys; with an empty table of keys, as it is."""
+    return cache.join(keys.select(F.col("key").alias("__key")).distinct(), F.col("key") == F.col("__key"), "left_anti")
+
+
+def missing(samples: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
+    """Samples to verify when a cache is warmed: one of each key that has no fresh entry."""
+    fresh = cache.where(F.col("expires_at") > now).select(F.col("key").alias("__key"))
+    return samples.dropDuplicates(["key"]).join(fresh, F.col("key") == F.col("__key"), "left_anti")
+
+
+def cache_health(cache: DataFrame, now: Column, quota: int) -> DataFrame:
+    """One row: entries, expired ones, bytes, share of the quota, and a status."""
+    out = cache.agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("expires_at") <= now).alias("expired"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    used = F.col("bytes") / F.lit(quota)
+    return out.withColumns({"used": used, "status": F.when(used > 1, "over quota").when(F.col("expired") * 2 > F.col("entries"), "stale").otherwise("healthy")})
+
+
 def cache_stats(lookups: DataFrame, *by: str) -> DataFrame:
     return lookups.groupBy(*by).agg(
         F.count(F.lit(1)).alias("requests"), F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"),
@@ -55,17 +112,23 @@ def cache_stats(lookups: DataFrame, *by: str) -> DataFrame:
 
 
 def moving_average(df: DataFrame, by: str, order: str, value: str, keep: float = 0.9) -> DataFrame:
-    """Exponential moving average of each group's values in order; the first value starts it."""
-    rows = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("__rows"))
-    rest = F.slice(F.col("__rows"), F.lit(2), F.size("__rows"))
-    folded = F.aggregate(rest, F.col("__rows")[0][value].cast("double"), lambda acc, r: acc * keep + r[value] * (1 - keep))
-    return rows.select(by, folded.alias("ema"), F.size("__rows").alias("n"))
+    """Exponential moving average of each group's values in order; the first value starts it.
+
+    A value's weight follows from how many of its group come after it, so the
+    average is a sum of partial sums, however long a group is.
+    """
+    ranks = running_sums(df.select(by, order, value), [by], [order], {"__rank": F.lit(1)})
+    sizes = df.groupBy(F.col(by).alias("__by")).agg(F.count(F.lit(1)).alias("__n"))
+    joined = ranks.join(sizes, F.col(by).eqNullSafe(F.col("__by")))
+    weight = F.pow(F.lit(keep), F.col("__n") - F.col("__rank")) * F.when(F.col("__rank") == 1, 1.0).otherwise(1 - keep)
+    return joined.groupBy(by).agg(F.sum(weight * F.col(value)).alias("ema"), F.count(F.lit(1)).alias("n"))
 
 
 def running(df: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
     """Running count and mean of each group."""
-    window = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({"runs": F.count(F.lit(1)).over(window), "running_mean": F.avg(value).over(window)})
+    held = F.col(value).isNotNull().cast("long")
+    out = running_sums(df, [by], order, {"runs": F.lit(1), "__sum": F.coalesce(F.col(value).cast("double"), F.lit(0.0)), "__held": held})
+    return out.withColumn("running_mean", F.try_divide("__sum", "__held")).drop("__sum", "__held")
 
 
 def trend(df: DataFrame, by: str, order: str, value: str) -> DataFrame:

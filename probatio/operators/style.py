@@ -115,10 +115,10 @@ def readability(facts: Column, lines: Column, code: Column) -> Column:
     )
 
 
-def metrics(facts: Column, lines: Column, code: Column, n_lines: Column, n_non_blank: Column) -> Column:
+def metrics(facts: Column, lines: Column, code: Column, n_lines: Column, n_non_blank: Column, most: int = MAX_LINE) -> Column:
     spacing = spacing_issues(code)
     return F.struct(
-        long_lines(lines).alias("long_lines"),
+        long_lines(lines, most).alias("long_lines"),
         odd_indents(lines).alias("odd_indents"),
         spacing.alias("spacing"),
         import_score(facts).alias("imports"),

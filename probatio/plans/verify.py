@@ -21,8 +21,7 @@ def prepared(samples: DataFrame, settings: Settings) -> DataFrame:
     """``sample_id``, ``code``, ``is_patch_context`` (and ``context``) with nulls settled."""
     patch = F.coalesce(F.col("is_patch_context"), F.lit(False)) if "is_patch_context" in samples.columns else F.lit(False)
     keep = [c for c in samples.columns if c not in ("code", "is_patch_context")]
-    out = samples.select(*keep, F.coalesce("code", F.lit("")).alias("code"), patch.alias("is_patch_context"))
-    return out if settings.max_code_chars is None else out.where(F.length("code") <= settings.max_code_chars)
+    return samples.select(*keep, F.coalesce("code", F.lit("")).alias("code"), patch.alias("is_patch_context"))
 
 
 def with_text(samples: DataFrame) -> DataFrame:
@@ -64,7 +63,7 @@ def _agent_steps(agent: str, settings: Settings) -> tuple[dict[str, Column], ...
         ]
     else:
         steps = [
-            {"style_metrics": style.metrics(f, lines, code, F.col("n_lines"), F.col("n_non_blank"))},
+            {"style_metrics": style.metrics(f, lines, code, F.col("n_lines"), F.col("n_non_blank"), settings.max_line)},
             {"style_issues": style.found_issues(F.col("style_metrics"), f)},
             {"style_score": style.score(F.col("style_issues"), F.col("style_metrics"), f)},
         ]

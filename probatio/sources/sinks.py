@@ -51,9 +51,9 @@ def write_texts(texts: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header; arrays are joined by ``+``."""
+    """CSV files with a header each, one for each task; arrays are joined by ``+``."""
     flat = df.select(*[F.array_join(c, "+").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes])
-    flat.coalesce(1).write.mode(mode).option("header", True).csv(path)
+    flat.write.mode(mode).option("header", True).csv(path)
 
 
 def markdown(df: DataFrame, most: int = 100) -> str:
