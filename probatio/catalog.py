@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probatio import catalog_sql as Q
-from probatio import templates
+from probatio import snippets, templates
 from probatio.config import Settings
 from probatio.functions import text as T
 from probatio.model import AGENTS
-from probatio.operators import corpus, facts, history, performance, report, security, style
+from probatio.operators import correctness, corpus, facts, history, performance, report, security, style
 from probatio.operators import rules as R
 from probatio.plans import verify as plan
 from probatio.sources import corpus as sources
@@ -501,6 +501,32 @@ def tree_issues(spark, sf_dir):
     return own.groupBy("agent", "type", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("snippet_issues", snippets.ISSUES_ORACLE)
+def snippet_issues(spark, sf_dir):
+    """Every issue of programs that meet the rules of all agents one by one."""
+    df = plan.analyse(snippets.programs(sources.spread(table(spark, sf_dir, "part"))))
+    kinds = lambda agent: F.transform(f"{agent}_issues", lambda i: F.struct(F.lit(agent).alias("agent"), i["type"].alias("type"), i["severity"].alias("severity")))
+    own = corpus.generated(df, F.concat(*map(kinds, ("correctness", "security", "performance", "style"))), "name")
+    return own.groupBy("name", "agent", "type", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("snippet_facts", snippets.FACTS_ORACLE)
+def snippet_facts(spark, sf_dir):
+    """What the same programs measure."""
+    df = plan.with_text(facts.with_facts(plan.prepared(snippets.programs(sources.spread(table(spark, sf_dir, "part"))), Settings())))
+    f = F.col("facts")
+    context = performance.code_context(F.col("is_patch_context"), F.col("n_non_blank"))
+    means = correctness.semantics(f)
+    whole = {"functions": f["functions"], "classes": f["classes"], "cyclomatic": f["cyclomatic"], "cognitive": f["worst"]["cognitive"], "depth": f["depth"], "concerns": f["concerns"], "refactorings": f["refactorings"]}
+    shares = {
+        "exception_coverage": f["exception_coverage"], "input_validation": f["input_validation"], "resource_safety": f["resource_safety"], "logic": means["logic"], "clarity": means["clarity"],
+        "edge": means["edge"], "risk": performance.scale_risk(f, context), "docs": style.docs_coverage(f),
+    }
+    names = {"context": context, "time_class": performance.time_class(f), "space_class": performance.space_class(f), "pattern": performance.algorithm_pattern(F.col("code_lower"))}
+    columns = {k: c.cast("long") for k, c in whole.items()} | {k: F.round(c, 4) for k, c in shares.items()} | names
+    return df.groupBy("name", *[c.alias(k) for k, c in columns.items()]).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("line_rules_templated", templates.LINE_RULES_ORACLE)
 def line_rules_templated(spark, sf_dir):
     samples = templates.risky_lines(sources.spread(table(spark, sf_dir, "part")))
