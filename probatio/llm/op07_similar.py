@@ -56,6 +56,8 @@ CELL_ROWS = 4096
 STEP = 4096
 #: Bits that hold the parity of a set's shingles.
 PARITY = 512
+#: Bits that tell which texts no pair asks for.
+MARKS = 1 << 26
 #: Buckets of prefix shingles for each shuffle partition; entries that a task packs at a time; texts that it knows it has dealt.
 BUCKETS, HELD, SEEN = 16, 1 << 20, 1 << 20
 #: Texts that tell frequent shingles, how many of them hold one, and how many shingles count.
@@ -352,6 +354,26 @@ def _sets(batches, width: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
+def marked(keys: DataFrame, key: str) -> np.ndarray:
+    """A bitmap of ``MARKS`` bits, a fixed size, that has the bit of every key set."""
+    # Spark's buckets hold 32768 bits each and number them from place 1 on.
+    place = F.col(key).bitwiseAND(F.lit(MARKS - 1)) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    # At most MARKS / 32768 rows of 4096 bytes.
+    out = np.zeros((MARKS >> 15, 4096), np.uint8)
+    for row in parts.collect():
+        out[row["at"] - 1] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return out.ravel()
+
+
+def _asked(batches, shipped):
+    bits = shipped.value
+    for batch in batches:
+        place = np.asarray(batch.column(0)).astype(np.int64) & (MARKS - 1)
+        use = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1
+        yield batch.filter(pa.array(use.astype(bool)))
+
+
 def row_key(id_col: str, node) -> Column:
     """Names a row up to equal ones, by its id and its text's hash, so that copies of one text spread."""
     return F.xxhash64(F.col(id_col), node)
@@ -360,8 +382,12 @@ def row_key(id_col: str, node) -> Column:
 def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
     """The ``pairs`` (a, b) whose whole shingle sets are similar; ``texts`` has (id, node, text)."""
     wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    wanted = wanted.select(row_key("least", F.col("node")).alias("row"))
-    own = texts.withColumn("row", row_key("id", F.col("node"))).join(wanted.hint("shuffle_hash"), "row", "left_semi").dropDuplicates(["row"]).select("node", "text")
+    wanted = checkpointed(wanted.select(row_key("least", F.col("node")).alias("row")))
+    # Texts that surely no pair asks for stay where they are; the rest meets the exact keys.
+    shipped = pairs.sparkSession.sparkContext.broadcast(marked(wanted, "row"))
+    named = texts.select(row_key("id", F.col("node")).alias("row"), "node", "text")
+    asked = named.mapInArrow(partial(_asked, shipped=shipped), "row long, node long, text string")
+    own = asked.join(wanted.hint("shuffle_hash"), "row", "left_semi").dropDuplicates(["row"]).select("node", "text")
     bounded_batches(pairs.sparkSession)
     sets = checkpointed(own.mapInArrow(partial(_sets, width=width), "node long, shingles array<long>"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")

@@ -95,3 +95,19 @@ def test_no_bound_rules_out_a_similar_pair():
             rows = [np.array([7, 7]), np.array([2, 1]), np.array([1, 2]), np.array([len(a), len(b)]), np.stack([m.parity(a), m.parity(b)]).view(np.uint64)]
             assert [x.tolist() for x in m.meet(*rows, 0.8)] == [[1], [2]]
             assert [len(x) for x in m.meet(*rows, 0.8, np.array([4, 4]))] == [0, 0]
+
+
+def test_marks_lose_no_key(spark):
+    import pyarrow as pa
+
+    draw = np.random.default_rng(4)
+    keys = [*draw.integers(-(1 << 63), 1 << 63, 3000).tolist(), 0, 1, -1, m.MARKS - 1, m.MARKS, 32767, 32768, 32769]
+
+    class Shipped:
+        value = m.marked(spark.createDataFrame([(k,) for k in keys], "row long"), "row")
+
+    def passed(rows):
+        return sum(b.num_rows for b in m._asked([pa.RecordBatch.from_arrays([pa.array(rows, pa.int64())], names=["row"])], Shipped))
+
+    assert len(Shipped.value) == m.MARKS // 8 and passed(keys) == len(keys)
+    assert passed(draw.integers(-(1 << 63), 1 << 63, 3000).tolist()) < 10
