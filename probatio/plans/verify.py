@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from probatio.config import Settings
 from probatio.functions import text as T
+from probatio.model import AGENTS
 from probatio.operators import correctness, facts, performance, report, security, style
 
 
@@ -139,5 +140,7 @@ def _summaries(agents: tuple[str, ...]) -> dict[str, Column]:
 
 
 def verify(samples: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Reports: one row for each sample."""
-    return with_report(analyse(samples, settings), settings.agents, settings).withColumns(_summaries(settings.agents))
+    """Reports: one row for each sample; agents that are not asked for stand in ``skipped_agents`` with score 1."""
+    skipped = F.array(*[F.struct(F.lit(a).alias("agent"), F.lit("skipped").alias("status"), F.lit(1.0).alias("score")) for a in AGENTS if a not in settings.agents])
+    reports = with_report(analyse(samples, settings), settings.agents, settings).withColumns(_summaries(settings.agents))
+    return reports.withColumn("skipped_agents", skipped.cast("array<struct<agent:string,status:string,score:double>>"))

@@ -66,3 +66,21 @@ def markdown(df: DataFrame, most: int = 100) -> str:
 def append_checkpoint(df: DataFrame, path: str) -> None:
     """Progress of a long evaluation: only new rows are written."""
     df.write.mode("append").parquet(path)
+
+
+def write_evaluation(results: DataFrame, rates: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """An evaluation as JSON lines: ``rates`` (one row) below ``metrics``, one line for each result below ``details``."""
+    rates.write.mode(mode).json(f"{path}/metrics")
+    results.write.mode(mode).json(f"{path}/details")
+
+
+def read_evaluation(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(results, rates) as ``write_evaluation`` left them."""
+    details = "problem_id string, category string, should_reject boolean, verdict string, score double, correct boolean"
+    return spark.read.schema(details).json(f"{path}/details"), spark.read.json(f"{path}/metrics")
+
+
+def ablation_summary(rates: DataFrame) -> DataFrame:
+    """Mean and best accuracy by number of agents, from one row (n_agents, accuracy, config) for each subset."""
+    by = rates.groupBy("n_agents").agg(F.count(F.lit(1)).alias("configs"), F.avg("accuracy").alias("mean"), F.max("accuracy").alias("best"), F.max_by("config", F.struct("accuracy", "config")).alias("best_config"))
+    return by.orderBy("n_agents")

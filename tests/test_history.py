@@ -59,3 +59,18 @@ def test_line_length_is_a_setting(spark):
     df = spark.createDataFrame([("s", "x = '" + "a" * 90 + "'\n")], "sample_id string, code string")
     kinds = lambda settings: {i["type"] for i in analyse(df, settings).first()["style_issues"]}
     assert "line_length" in kinds(Settings()) and "line_length" not in kinds(Settings(max_line=120))
+
+
+def test_skipped_agents_and_stored_evaluations(spark, tmp_path):
+    from probatio.plans.verify import verify
+    from probatio.sources import sinks
+
+    df = spark.createDataFrame([("s", "x = 1\n")], "sample_id string, code string")
+    row = verify(df, Settings(agents=("security", "style"))).select("skipped_agents").first()
+    assert [tuple(x) for x in row[0]] == [("correctness", "skipped", 1.0), ("performance", "skipped", 1.0)]
+    results = spark.createDataFrame([("p", "bug", True, "FAIL", 0.25, True), ("q", None, False, "PASS", 1.0, True)], "problem_id string, category string, should_reject boolean, verdict string, score double, correct boolean")
+    rates = spark.createDataFrame([(1, "S", 0.5), (1, "C", 0.75), (2, "C+S", 0.9)], "n_agents int, config string, accuracy double")
+    sinks.write_evaluation(results, rates.agg(F.max("accuracy").alias("accuracy")), str(tmp_path / "e"))
+    back, metrics = sinks.read_evaluation(spark, str(tmp_path / "e"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, results.collect())) and metrics.first()["accuracy"] == 0.9
+    assert [tuple(r) for r in sinks.ablation_summary(rates).collect()] == [(1, 2, 0.625, 0.75, "C"), (2, 1, 0.9, 0.9, "C+S")]
