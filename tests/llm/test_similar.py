@@ -95,6 +95,20 @@ def test_no_bound_rules_out_a_similar_pair():
             rows = [np.array([7, 7]), np.array([2, 1]), np.array([1, 2]), np.array([len(a), len(b)]), np.stack([m.parity(a), m.parity(b)]).view(np.uint64)]
             assert [x.tolist() for x in m.meet(*rows, 0.8)] == [[1], [2]]
             assert [len(x) for x in m.meet(*rows, 0.8, np.array([4, 4]))] == [0, 0]
+            apart = m.parities_apart(m.wide_parity(a).tobytes(), m.wide_parity(b).tobytes())
+            assert apart <= len(np.setxor1d(a, b)) <= 0.2 / 1.8 * (len(a) + len(b)) + 1e-6
+
+
+def test_wide_parities_tell_unlike_sets_apart():
+    draw = np.random.default_rng(5)
+    for n in (600, 5000, 40_000):
+        a = np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64))
+        for out, over in ((0.3, True), (0.05, False)):
+            b = np.unique(np.concatenate([a[int(out * n) :], draw.integers(0, 1 << 63, int(out * n), dtype=np.uint64)]))
+            apart = m.parities_apart(m.wide_parity(a).tobytes(), m.wide_parity(b).tobytes())
+            assert (apart > 0.2 / 1.8 * (len(a) + len(b))) == over
+    # Widths of one set's parities agree: wide ones fold to narrow ones.
+    assert m.parities_apart(m.parity(a, 1 << 16).tobytes(), m.parity(a).tobytes()) == 0
 
 
 def test_marks_lose_no_key(spark):
