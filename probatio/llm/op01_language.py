@@ -10,9 +10,10 @@ more free share). The prediction is the language with the largest share, and
 the score is its share times the certainty that this language, rather than
 another alone, explains the words given to it.
 
-Training reads at most ``max_docs`` labelled texts of each language: of those of
-at most ``max_chars`` characters, the ones with the smallest hash of their id,
-each whole. Prediction reads whole texts and never lang, source or id. The model
+Training reads at most ``max_docs`` labelled texts of each language: those of at
+most ``max_chars`` characters first, in the order of a hash of their id, each
+whole; if there are too few, the first ``max_chars`` characters of longer ones,
+so a language of long texts alone is learned too. Prediction reads whole texts and never lang, source or id. The model
 is n-grams x languages, cut to the ``max_grams`` most frequent n-grams, so its
 broadcast has a fixed bound for each language.
 
@@ -196,15 +197,16 @@ def fit(docs: DataFrame, max_docs: int = 250, max_chars: int = 20_000, id_col: s
     """A model of the labelled documents that are not held out.
 
     The sample is bounded: ``max_docs`` x ``max_chars`` characters a language.
+    Longer texts are taken last, and only their first ``max_chars`` characters.
     """
     from pyspark.sql import Window
 
-    usable = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) <= max_chars) & ~F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False)))
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
+    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False)))
+    order = Window.partitionBy(lang_col).orderBy("__long", F.xxhash64(id_col), id_col)
     # Ids first, so that texts of the chosen rows alone are moved.
-    ids = usable.select(lang_col, id_col).withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_docs).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"))
+    ids = usable.select(lang_col, id_col, (F.length(text_col) > max_chars).alias("__long")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_docs).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"))
     chosen = usable.join(F.broadcast(ids), (F.col(id_col) == F.col("__id")) & (F.col(lang_col) == F.col("__lang")))
-    rows = chosen.select("__lang", F.col(text_col).alias("text")).orderBy("__lang", F.xxhash64("text"))
+    rows = chosen.select("__lang", F.substring(text_col, 1, max_chars).alias("text")).orderBy("__lang", F.xxhash64("text"))
     texts: dict[str, list[str]] = {}
     for row in rows.toLocalIterator():
         if len(own := texts.setdefault(row[0], [])) < max_docs:

@@ -141,6 +141,15 @@ def test_language_mixture(spark):
     assert m.identify(empty, m.fit(empty)).count() == 0
 
 
+def test_language_of_long_texts_alone(spark):
+    from probatio.llm import op01_language as m
+
+    short, long = "the house and the garden with some flowers there", "das Haus und der Garten mit einigen Blumen dort " * 40
+    df = spark.createDataFrame([(k, t, lang) for k in range(12) for t, lang in ((short, "en"), (long, "de"))], "doc_id long, text string, lang string")
+    model = m.fit(df, max_docs=3, max_chars=100)
+    assert [*model.langs] == ["de", "en"] and m.predict(model, long)[0] == "de" and m.predict(model, short)[0] == "en"
+
+
 def test_held_out_accuracy(spark):
     from probatio.llm.registry import QUERIES
 
