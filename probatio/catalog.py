@@ -504,16 +504,16 @@ def tree_issues(spark, sf_dir):
 @query("snippet_issues", snippets.ISSUES_ORACLE)
 def snippet_issues(spark, sf_dir):
     """Every issue of programs that meet the rules of all agents one by one."""
-    df = plan.analyse(snippets.programs(sources.spread(table(spark, sf_dir, "part"))))
+    df = plan.analyse(snippets.distinct(table(spark, sf_dir, "part")).withColumnRenamed("n", "copies"))
     kinds = lambda agent: F.transform(f"{agent}_issues", lambda i: F.struct(F.lit(agent).alias("agent"), i["type"].alias("type"), i["severity"].alias("severity")))
-    own = corpus.generated(df, F.concat(*map(kinds, ("correctness", "security", "performance", "style"))), "name")
-    return own.groupBy("name", "agent", "type", "severity").agg(F.count(F.lit(1)).alias("n"))
+    own = corpus.generated(df, F.concat(*map(kinds, ("correctness", "security", "performance", "style"))), "name", "copies")
+    return own.groupBy("name", "agent", "type", "severity").agg(F.sum("copies").alias("n"))
 
 
 @query("snippet_facts", snippets.FACTS_ORACLE)
 def snippet_facts(spark, sf_dir):
     """What the same programs measure."""
-    df = plan.with_text(facts.with_facts(plan.prepared(snippets.programs(sources.spread(table(spark, sf_dir, "part"))), Settings())))
+    df = plan.with_text(facts.with_facts(plan.prepared(snippets.distinct(table(spark, sf_dir, "part")), Settings())))
     f = F.col("facts")
     context = performance.code_context(F.col("is_patch_context"), F.col("n_non_blank"))
     means = correctness.semantics(f)
@@ -524,7 +524,7 @@ def snippet_facts(spark, sf_dir):
     }
     names = {"context": context, "time_class": performance.time_class(f), "space_class": performance.space_class(f), "pattern": performance.algorithm_pattern(F.col("code_lower"))}
     columns = {k: c.cast("long") for k, c in whole.items()} | {k: F.round(c, 4) for k, c in shares.items()} | names
-    return df.groupBy("name", *[c.alias(k) for k, c in columns.items()]).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy("name", *[c.alias(k) for k, c in columns.items()]).agg(F.sum("n").alias("n"))
 
 
 @query("line_rules_templated", templates.LINE_RULES_ORACLE)

@@ -53,6 +53,14 @@ def programs(part: DataFrame) -> DataFrame:
     return part.select(F.col("p_partkey").alias("sample_id"), pick(1).alias("code"), pick(0).alias("name"))
 
 
+def distinct(part: DataFrame) -> DataFrame:
+    """(sample_id, code, name, n): each text once, with the number of parts that have it.
+
+    What is found in a text depends on nothing else, so it is found once.
+    """
+    return programs(part).groupBy("code", "name").agg(F.min("sample_id").alias("sample_id"), F.count(F.lit(1)).alias("n"))
+
+
 #: Checked by hand against the rules: agent, type, severity and number of the issues of each program.
 ISSUES = {
     "async_only": (

@@ -20,3 +20,8 @@ def test_facts_of_texts_that_differ_in_a_number_are_found_once(monkeypatch):
     monkeypatch.setattr(facts, "facts_of", lambda code: seen.append(code) or own(code))
     list(facts._facts([pa.RecordBatch.from_pydict({"code": [RUN.format(k=k) for k in range(100, 1000)]})] * 2))
     assert len(seen) == 1
+
+def test_each_program_is_analysed_once(spark):
+    part = spark.range(1, 20 * len(snippets.SNIPPETS) + 1).withColumnRenamed("id", "p_partkey")
+    rows = snippets.distinct(part).collect()
+    assert {(r["name"], r["code"], r["n"]) for r in rows} == {(*s, 20) for s in snippets.SNIPPETS}
