@@ -40,7 +40,12 @@ def semantics(facts: Column) -> Column:
     )
 
 
-def found_issues(facts: Column, means: Column, code: Column, n_non_blank: Column) -> Column:
+def is_dangerous(code: Column) -> Column:
+    return T.contains_any(code, R.DANGEROUS_TEXT)
+
+
+def found_issues(facts: Column, means: Column, dangerous: Column, n_non_blank: Column) -> Column:
+    """``dangerous``: a column that holds ``is_dangerous``, as it is used several times."""
     simple = n_non_blank < 30
     ok = parsed(facts)
     noted = F.transform(
@@ -72,7 +77,6 @@ def found_issues(facts: Column, means: Column, code: Column, n_non_blank: Column
     bugs = F.when(
         ok, F.transform(F.array_repeat(F.lit(1), facts["open_ifs"]), lambda _: issue("potential_bug", HIGH, "Decision without an else branch", None, "Add the missing branch"))
     ).otherwise(F.array(issue("potential_bug", HIGH, "Unparsable text hides bugs", None, "Add the missing branch")))
-    dangerous = T.contains_any(code, R.DANGEROUS_TEXT)
     return join_issues(
         issue_if(facts["cyclomatic"] > 15, issue("complexity", F.when(simple, MEDIUM).otherwise(HIGH), F.concat(F.lit("Cyclomatic complexity "), facts["cyclomatic"].cast("string")), None, "Split the function")),
         issue_if((facts["exception_coverage"] < 0.8) & ~simple, issue("exception_coverage", HIGH, "Few functions handle exceptions", None, "Handle exceptions")),

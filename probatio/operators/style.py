@@ -22,7 +22,15 @@ def odd_indents(lines: Column) -> Column:
 
 
 def spacing_issues(code: Column) -> Column:
-    return sum((F.regexp_count(code, F.lit(T.pattern(p, multiline=True))) for p in R.SPACING[1:]), F.regexp_count(code, F.lit(T.pattern(R.SPACING[0], multiline=True))))
+    def of(regex: str, parts: tuple[str, ...]) -> Column:
+        found = T.contains_any(code, parts)
+        if regex.endswith("$"):
+            found = found | F.substring(code, -1, 1).isin(*R.BLANK)
+        # Plain searches come first: most texts hold no match of most patterns.
+        return F.when(found, F.regexp_count(code, F.lit(T.pattern(regex, multiline=True)))).otherwise(0)
+
+    counts = [of(*pair) for pair in zip(R.SPACING, R.SPACING_PARTS, strict=True)]
+    return sum(counts[1:], counts[0])
 
 
 def formatting_score(spacing: Column, n_lines: Column) -> Column:
@@ -60,7 +68,8 @@ def duplication_score(lines: Column) -> Column:
 
 
 def test_hints(code: Column) -> Column:
-    return sum((F.regexp_count(code, F.lit(p)) for p in R.TEST_HINTS[1:]), F.regexp_count(code, F.lit(R.TEST_HINTS[0])))
+    counts = [F.when(code.contains(part), F.regexp_count(code, F.lit(p))).otherwise(0) for p, part in zip(R.TEST_HINTS, R.HINT_PARTS, strict=True)]
+    return sum(counts[1:], counts[0])
 
 
 def docs_coverage(facts: Column) -> Column:
@@ -115,8 +124,8 @@ def readability(facts: Column, lines: Column, code: Column) -> Column:
     )
 
 
-def metrics(facts: Column, lines: Column, code: Column, n_lines: Column, n_non_blank: Column, most: int = MAX_LINE) -> Column:
-    spacing = spacing_issues(code)
+def metrics(facts: Column, lines: Column, code: Column, n_lines: Column, n_non_blank: Column, spacing: Column, most: int = MAX_LINE) -> Column:
+    """``spacing``: a column that holds ``spacing_issues``, as it is used twice."""
     return F.struct(
         long_lines(lines, most).alias("long_lines"),
         odd_indents(lines).alias("odd_indents"),

@@ -41,12 +41,12 @@ def _agent_steps(agent: str, settings: Settings) -> tuple[dict[str, Column], ...
     f, lines, code, lower = F.col("facts"), F.col("lines"), F.col("code"), F.col("code_lower")
     if agent == "correctness":
         steps = [
-            {"correctness_means": correctness.semantics(f)},
-            {"correctness_issues": correctness.found_issues(f, F.col("correctness_means"), code, F.col("n_non_blank"))},
+            {"correctness_means": correctness.semantics(f), "__dangerous": correctness.is_dangerous(code)},
+            {"correctness_issues": correctness.found_issues(f, F.col("correctness_means"), F.col("__dangerous"), F.col("n_non_blank"))},
             {"correctness_score": correctness.score(F.col("correctness_issues"), f)},
         ]
     elif agent == "security":
-        parts = [F.col("__more"), security.compliance_issues(F.col("__more"), code, settings.word_boundary_crypto)]
+        parts = [F.col("__more"), security.compliance_issues(F.col("__more"), code, settings.word_boundary_crypto, lower)]
         if settings.check_dependencies:
             parts.append(security.dependency_issues(f))
         steps = [
@@ -64,7 +64,8 @@ def _agent_steps(agent: str, settings: Settings) -> tuple[dict[str, Column], ...
         ]
     else:
         steps = [
-            {"style_metrics": style.metrics(f, lines, code, F.col("n_lines"), F.col("n_non_blank"), settings.max_line)},
+            {"__spacing": style.spacing_issues(code)},
+            {"style_metrics": style.metrics(f, lines, code, F.col("n_lines"), F.col("n_non_blank"), F.col("__spacing"), settings.max_line)},
             {"style_issues": style.found_issues(F.col("style_metrics"), f)},
             {"style_score": style.score(F.col("style_issues"), F.col("style_metrics"), f)},
         ]
@@ -78,7 +79,7 @@ def agent_issues(df: DataFrame, settings: Settings) -> DataFrame:
     """
     for steps in zip_longest(*(_agent_steps(a, settings) for a in settings.agents), fillvalue={}):
         df = df.withColumns({name: c for own in steps for name, c in own.items()})
-    return df.drop("__found", "__more")
+    return df.drop("__found", "__more", "__dangerous", "__spacing")
 
 
 def failed(settings: Settings) -> Column:

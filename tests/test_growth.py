@@ -4,9 +4,11 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from probatio import snippets, templates
+from probatio.config import Settings
 from probatio.functions import text as T
-from probatio.operators import facts, security
+from probatio.operators import facts, security, style
 from probatio.operators import rules as R
+from probatio.plans import verify as plan
 
 RUN = 'def run_{k}(v0):\n    """Do the work."""\n    for i in range(9):\n        run_{k}(v0)\n    return v0\n'
 ODD = [
@@ -43,3 +45,28 @@ def test_plain_searches_lose_no_match(spark):
 def test_words_of_weak_crypto_end_at_letters_outside_ascii(spark):
     df = spark.createDataFrame([("éDES",), ("DESÉ",), ("xDES",), ("rc4_",), ("a 3des.",)], "code string")
     assert [r[0] for r in df.select(security.weak_crypto(F.col("code"), True)).collect()] == [True, True, False, False, True]
+
+
+def test_texts_are_searched_once_for_each_rule(spark):
+    steps = {a: " ".join(str(c) for s in plan._agent_steps(a, Settings()) for c in s.values()) for a in ("style", "correctness")}
+    assert steps["style"].count("(?dm)") == len(R.SPACING)
+    assert steps["correctness"].count("__import__") == 1
+
+
+LAYOUT = [
+    "", " ", "a;b", "a; b", "a \nb", "a\t", "a\x0b\nb", "a\x0c", "a\r\nb", "a,b", "a ,b", "a\n,b", "a+b", "a = b", "a=b", "a\n\n\nb", "a\n \n\t\nb", "a\n\nb", "(a)", "( a", "a )", "[\na", "{ }", "\"a\" 'b'", "'b' \"a\"",
+    "'a'", '"a"', "a\u00a0\n", "a\u2028", "\u00e9,\u00e9", "a\x85\n", "\n", "\n\n", "assert x", "assert\nx", "self.assertTrue", "def test_a", "import pytest\nimport unittest", "@pytest.mark", "MyTestCase", "x-1; y", "a*b/c",
+]
+WEAK = ["hashlib.MD5 (x", "HASHLIB.sha1(", "random.randint(", "Random.Random (", "random", "Besuch, des", "rc4", "3DES", "dE", "hashl\u0130b.md5(", "\u017fde\u017f", ""]
+
+
+def test_plain_searches_lose_no_match(spark):
+    code = F.col("code")
+    plain = lambda regexes: sum((F.regexp_count(code, F.lit(r)) for r in regexes), F.lit(0))
+    texts = spark.createDataFrame([(a + b,) for a in LAYOUT for b in LAYOUT], "code string")
+    rows = texts.select("code", style.spacing_issues(code), plain([T.pattern(r, multiline=True) for r in R.SPACING]), style.test_hints(code), plain(R.TEST_HINTS)).collect()
+    assert [r[0] for r in rows if r[1] != r[2] or r[3] != r[4]] == [] and {r[1] > 0 for r in rows} == {r[3] > 0 for r in rows} == {True, False}
+    weak = spark.createDataFrame([(w,) for w in WEAK], "code string")
+    for whole in (False, True):
+        rows = weak.select(security.weak_crypto(code, whole), security.weak_crypto(code, whole, F.lower("code"))).collect()
+        assert [r[0] for r in rows] == [r[1] for r in rows] and {r[0] for r in rows} == {True, False}
