@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What ends a line for ``str.splitlines``, as a Java pattern.
 LINE_END = "\\r\\n|[\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 #: What ``str.strip`` takes off.
 BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-
+#: Parts that many searches share. They hold no letter, so the lower-case text holds the same ones.
+MARKS = (*"()[]{}+-*/=;'\"_@\t\x0b\f\r", " \n", "\n\n")
 
 
 def let(value: Column, body) -> Column:
@@ -36,7 +40,7 @@ def kept_apart(columns: dict[str, Column]) -> dict[str, Column]:
 
 def split_lines(code: Column) -> Column:
     """Lines of ``code`` as ``str.splitlines`` gives them."""
-    parts = F.split(F.regexp_replace(code, LINE_END, "\n"), "\n")
+    parts = F.split(F.when(contains_any(code, LINE_ENDS), F.regexp_replace(code, LINE_END, "\n")).otherwise(code), "\n")
     return F.when(code == "", F.array().cast("array<string>")).otherwise(
         let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
     )
@@ -58,10 +62,28 @@ def non_blank(lines: Column) -> Column:
     return F.filter(lines, lambda x: strip(x) != "")
 
 
-def contains_any(x: Column, words) -> Column:
+def marks(code: Column) -> dict[str, Column]:
+    """Which of ``MARKS`` a text holds, as the columns that ``has`` names."""
+    return {f"__has_{k}": code.contains(part) for k, part in enumerate(MARKS)}
+
+
+def has(part: str) -> Column:
+    return F.col(f"__has_{MARKS.index(part)}")
+
+
+def contains(x: Column, word: str, marked: bool = False) -> Column:
+    """``marked``: the row has the columns of ``marks`` for this text; the word is searched only where its marks are."""
+    if not marked:
+        return x.contains(word)
+    if word in MARKS:
+        return has(word)
+    return reduce(lambda found, part: has(part) & found, [m for m in MARKS if m in word], x.contains(word))
+
+
+def contains_any(x: Column, words, marked: bool = False) -> Column:
     out = F.lit(False)
     for word in words:
-        out = out | x.contains(word)
+        out = out | contains(x, word, marked)
     return out
 
 

@@ -40,8 +40,9 @@ def semantics(facts: Column) -> Column:
     )
 
 
-def is_dangerous(code: Column) -> Column:
-    return T.contains_any(code, R.DANGEROUS_TEXT)
+def is_dangerous(code: Column, marked: bool = False) -> Column:
+    imports = [w for w in R.DANGEROUS_TEXT if w.startswith("import ")]
+    return (code.contains("import ") & T.contains_any(code, imports)) | T.contains_any(code, [w for w in R.DANGEROUS_TEXT if w not in imports], marked)
 
 
 def found_issues(facts: Column, means: Column, dangerous: Column, n_non_blank: Column) -> Column:

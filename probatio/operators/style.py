@@ -21,9 +21,9 @@ def odd_indents(lines: Column) -> Column:
     return F.size(F.filter(lines, lambda x: (T.strip(x) != "") & (T.indent(x) % 4 != 0)))
 
 
-def spacing_issues(code: Column) -> Column:
+def spacing_issues(code: Column, marked: bool = False) -> Column:
     def of(regex: str, parts: tuple[str, ...]) -> Column:
-        found = T.contains_any(code, parts)
+        found = T.contains_any(code, parts, marked)
         if regex.endswith("$"):
             found = found | F.substring(code, -1, 1).isin(*R.BLANK)
         # Plain searches come first: most texts hold no match of most patterns.
@@ -67,8 +67,8 @@ def duplication_score(lines: Column) -> Column:
     return T.let(kept, of)
 
 
-def test_hints(code: Column) -> Column:
-    counts = [F.when(code.contains(part), F.regexp_count(code, F.lit(p))).otherwise(0) for p, part in zip(R.TEST_HINTS, R.HINT_PARTS, strict=True)]
+def test_hints(code: Column, marked: bool = False) -> Column:
+    counts = [F.when(T.contains(code, part, marked), F.regexp_count(code, F.lit(p))).otherwise(0) for p, part in zip(R.TEST_HINTS, R.HINT_PARTS, strict=True)]
     return sum(counts[1:], counts[0])
 
 
@@ -124,7 +124,7 @@ def readability(facts: Column, lines: Column, code: Column) -> Column:
     )
 
 
-def metrics(facts: Column, lines: Column, code: Column, n_lines: Column, n_non_blank: Column, spacing: Column, most: int = MAX_LINE) -> Column:
+def metrics(facts: Column, lines: Column, code: Column, n_lines: Column, n_non_blank: Column, spacing: Column, most: int = MAX_LINE, marked: bool = False) -> Column:
     """``spacing``: a column that holds ``spacing_issues``, as it is used twice."""
     return F.struct(
         long_lines(lines, most).alias("long_lines"),
@@ -136,7 +136,7 @@ def metrics(facts: Column, lines: Column, code: Column, n_lines: Column, n_non_b
         comment_density(facts, lines).alias("comments"),
         maintainability_index(facts, code, n_non_blank).alias("maintainability"),
         F.when(facts["parse_status"] == "ok", duplication_score(lines)).otherwise(1.0).alias("duplication"),
-        test_hints(code).alias("test_hints"),
+        test_hints(code, marked).alias("test_hints"),
         readability(facts, lines, code).alias("readability"),
     )
 

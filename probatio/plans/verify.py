@@ -41,7 +41,7 @@ def _agent_steps(agent: str, settings: Settings) -> tuple[dict[str, Column], ...
     f, lines, code, lower = F.col("facts"), F.col("lines"), F.col("code"), F.col("code_lower")
     if agent == "correctness":
         steps = [
-            {"correctness_means": correctness.semantics(f), "__dangerous": correctness.is_dangerous(code)},
+            {"correctness_means": correctness.semantics(f), "__dangerous": correctness.is_dangerous(code, True)},
             {"correctness_issues": correctness.found_issues(f, F.col("correctness_means"), F.col("__dangerous"), F.col("n_non_blank"))},
             {"correctness_score": correctness.score(F.col("correctness_issues"), f)},
         ]
@@ -50,7 +50,7 @@ def _agent_steps(agent: str, settings: Settings) -> tuple[dict[str, Column], ...
         if settings.check_dependencies:
             parts.append(security.dependency_issues(f))
         steps = [
-            {"__found": security.found_issues(lines, code, lower, f, settings.entropy_floor)},
+            {"__found": security.found_issues(lines, code, lower, f, settings.entropy_floor, True)},
             {"__more": F.concat(F.col("__found"), security.compound_issues(F.col("__found")))},
             {"security_issues": F.concat(*parts)},
             {"security_metrics": security.metrics(F.col("security_issues"))},
@@ -64,8 +64,8 @@ def _agent_steps(agent: str, settings: Settings) -> tuple[dict[str, Column], ...
         ]
     else:
         steps = [
-            {"__spacing": style.spacing_issues(code)},
-            {"style_metrics": style.metrics(f, lines, code, F.col("n_lines"), F.col("n_non_blank"), F.col("__spacing"), settings.max_line)},
+            {"__spacing": style.spacing_issues(code, True)},
+            {"style_metrics": style.metrics(f, lines, code, F.col("n_lines"), F.col("n_non_blank"), F.col("__spacing"), settings.max_line, True)},
             {"style_issues": style.found_issues(F.col("style_metrics"), f)},
             {"style_score": style.score(F.col("style_issues"), F.col("style_metrics"), f)},
         ]
@@ -75,11 +75,13 @@ def _agent_steps(agent: str, settings: Settings) -> tuple[dict[str, Column], ...
 def agent_issues(df: DataFrame, settings: Settings) -> DataFrame:
     """``<agent>_issues`` and ``<agent>_score`` of each asked-for agent.
 
-    Agents do not read each other's columns, so their steps share projections.
+    Agents do not read each other's columns, so their steps share projections. Marks that no agent reads are pruned.
     """
+    marks = T.marks(F.col("code"))
+    df = T.materialise(df, **marks)
     for steps in zip_longest(*(_agent_steps(a, settings) for a in settings.agents), fillvalue={}):
         df = df.withColumns({name: c for own in steps for name, c in own.items()})
-    return df.drop("__found", "__more", "__dangerous", "__spacing")
+    return df.drop("__found", "__more", "__dangerous", "__spacing", *marks)
 
 
 def failed(settings: Settings) -> Column:

@@ -1,12 +1,14 @@
 """Work that does not grow with copies of a text, and plain searches before patterns."""
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from probatio import snippets, templates
 from probatio.config import Settings
 from probatio.functions import text as T
-from probatio.operators import facts, security, style
+from probatio.operators import correctness, facts, security, style
 from probatio.operators import rules as R
 from probatio.plans import verify as plan
 
@@ -70,3 +72,34 @@ def test_plain_searches_lose_no_match(spark):
     for whole in (False, True):
         rows = weak.select(security.weak_crypto(code, whole), security.weak_crypto(code, whole, F.lower("code"))).collect()
         assert [r[0] for r in rows] == [r[1] for r in rows] and {r[0] for r in rows} == {True, False}
+
+
+def test_parts_that_many_rules_need_are_searched_once(spark):
+    steps = [str(c) for a in ("correctness", "security", "style") for s in plan._agent_steps(a, Settings()) for c in s.values()]
+    shared = [str(c) for c in T.marks(F.col("code")).values()]
+    assert len(shared) == len(T.MARKS) and not any(part.isalnum() for part in "".join(T.MARKS))
+    for one in "=(;_":
+        assert not any(f"contains(code, '{one}')" in s for s in steps) and sum(f"contains(code, '{one}')" in s for s in shared) == 1
+
+
+def test_shared_marks_lose_no_match(spark):
+    code, lower, lines = F.col("code"), F.col("code_lower"), F.col("lines")
+    runs = [x + "a1" * 20 + y for x in ("", " ", "\n", "\u00e9", "=", "b ", "c\t") for y in ("", " ", "\n", "\u00e9", "b")] + [" " + "a" * 39 + " ", "a" * 20 + " " + "b" * 20, "\u00e9" * 45, "x" * 20 + "-" + "y" * 20]
+    secrets = ["'" + "0f" * 20 + "'", "'" + "0123456789abcdefABCDEF" * 2 + "'", "sk-" + "a1" * 30, "sk-ant-" + "a" * 12, "AKIA" + "A" * 16, "ghp_" + "a" * 36, "gho_" + "a" * 36, "sk_live_" + "a" * 24, "pk_live_" + "b" * 24, "mysql://u:p@h", "xoxb-1", "eyJa.b.c", "-----BEGIN PRIVATE KEY-----"]
+    danger = [*R.DANGEROUS_TEXT, "import re", "Import os", "__IMPORT__", "open (", "while True"]
+    own = [*templates.RISKY, *map(str.upper, templates.RISKY), *(s[1] for s in snippets.SNIPPETS), *runs, *secrets, *danger, *LAYOUT, *WEAK, *(a + b for a in LAYOUT[:20] for b in LAYOUT[:20])]
+    df = T.materialise(plan.with_text(spark.createDataFrame([(t,) for t in own], "code string")), **T.marks(code))
+    both = {
+        **{r.name: [security.line_rule_issues(r, lines, code, lower, m) for m in (True, False)] for r in R.LINE_RULES},
+        "secrets": [security.secret_issues(lines, code, m) for m in (True, False)],
+        "entropy": [security.entropy_issues(lines, code, marked=m) for m in (True, False)],
+        "spacing": [style.spacing_issues(code, m) for m in (True, False)],
+        "hints": [style.test_hints(code, m) for m in (True, False)],
+        "danger": [correctness.is_dangerous(code, True), reduce(lambda a, w: a | code.contains(w), R.DANGEROUS_TEXT, F.lit(False))],
+        "run": [security.held("aws_secret_key", R.SECRET_RULES[1][2], code, True), F.rlike(code, F.lit(R.SECRET_RULES[1][2]))],
+        "weak": [security.weak_crypto(code, code_lower=lower), security.weak_crypto(code)],
+    }
+    rows = df.select("code", *[F.struct(a.alias("quick"), b.alias("own")).alias(k) for k, (a, b) in both.items()]).collect()
+    for k in both:
+        assert [r["code"] for r in rows if r[k]["quick"] != r[k]["own"]] == [], k
+    assert {k for k in both if len({str(r[k]["own"]) for r in rows}) > 1} == set(both)
